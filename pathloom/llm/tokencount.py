@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .shared import text_or_empty
 
 #: Bounds of one worker's memos.
-MEMO_UNITS, MEMO_PAIRS, MEMO_LENGTH = 700_000, 600_000, 48
+MEMO_UNITS, MEMO_PAIRS, MEMO_LENGTH = 1_200_000, 600_000, 48
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -57,7 +57,11 @@ class PrefixTable:
         }
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.score):
             raise ValueError("a piece crosses a unit's border")
-        self.longest = max(map(len, self.score))
+        self.lengths: dict[str, set[int]] | dict[str, list[int]] = {}  # of the pieces that end in these three characters
+        for p in self.score:
+            if len(p) > 2:
+                self.lengths.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {k: sorted(v, reverse=True) + [2, 1] for k, v in self.lengths.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.counts = _Counts(self)
 
@@ -87,9 +91,11 @@ class PrefixTable:
         """Token counts at the prefixes 0..len(unit) of one unit."""
         if unit.startswith(SPACE * 2):  # the pieces of many spaces have equal scores: no order, so no unique last token
             return [0] + [len(self.model.encode(unit[1:i])) if i > 1 else 1 for i in range(1, len(unit) + 1)]
-        score, pairs, last, count = self.score, self.pairs, [""], [0]
+        score, pairs, lengths, last, count = self.score, self.pairs, self.lengths, [""], [0]
         for i in range(1, len(unit) + 1):
-            for n in range(min(self.longest, i), 0, -1):
+            for n in lengths.get(unit[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
+                if n > i:
+                    continue
                 piece = unit[i - n : i]
                 if n > 1 and piece not in score:
                     continue
