@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import id_remainder
 
@@ -181,21 +182,29 @@ def fit(docs: DataFrame, train_docs: int = 200, train_chars: int = 40_000, max_l
     return Model(samples, train_chars, size)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score (1 - bits of the best language / bits of the second)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(id_remainder(docs["doc_id"], 5) == 0, F.lit(False)).alias("held_out"), docs["text"].cast("string").alias("text"))
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """Per row: doc_id, held_out, lang_pred, score (1 - bits of the best language / bits of the second); with ``keep``, those columns come first."""
+    if keep is not None:
+        clash = [c for c in keep if c in ("lang_pred", "score", "held_out")]
+        kept = [c for c in keep if c not in clash]
+        return _parse(docs, [docs[c].alias(c) for c in kept] + [docs["text"].cast("string").alias("_text")], model, kept)
+    rows = [docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(id_remainder(docs["doc_id"], 5) == 0, F.lit(False)).alias("held_out"), docs["text"].cast("string").alias("_text")]
+    return _parse(docs, rows, model, ["doc_id", "held_out"])
+
+
+def _parse(docs: DataFrame, columns: list, model: Model, kept: list[str]) -> DataFrame:
+    """The columns (the last is the text), of which ``kept`` pass through, with lang_pred and score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*columns)
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def parse(batches):
         m = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                got = m.predict(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
-                )
+                got = m.predict(part.column(part.num_columns - 1).to_pylist())
+                made = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(part.columns[:-1] + made, names=[*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(parse, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(parse, schema)

@@ -188,3 +188,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     linked = real.select("doc_id", "n_shingles", "h").join(final, "h").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     alone = fp.where("h is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)
+
+
+#: Up to so many ids are broadcast; beyond, they are joined by shuffle.
+FEW_IDS = 100_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Docs whose id isn't in ``gone`` (doc_id), with the same columns; of the rows of one id one stays."""
+    columns = docs.columns
+    if gone.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        gone = F.broadcast(gone)
+    return _one_each(docs.join(gone, "doc_id", "left_anti")).select(*columns)
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """Drops repeated rows of one id. Ids that repeat are found by a count over the ids alone, so other rows aren't shuffled."""
+    twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.xxhash64(*docs.columns)).alias("_h")).where("_n > 1").select("doc_id", "_h"), "repeated-ids")
+    if twice.isEmpty():
+        return docs
+    if twice.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        twice = F.broadcast(twice)
+    rows = docs.join(twice, "doc_id", "left")
+    single = rows.where("_h is null").drop("_h")
+    least = rows.where("_h is not null").where(F.xxhash64(*docs.columns) == F.col("_h")).drop("_h")
+    return single.unionByName(least.dropDuplicates(["doc_id"]))
