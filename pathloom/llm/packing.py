@@ -7,8 +7,11 @@ places what those had held by best fit. After each epoch every island sends its
 the last epoch the best packing of the block stands. Bins that are still poorly filled are opened and packed once more
 across blocks. Only (row number, length) pairs take part, and no task gets more than a block.
 
-The token ids of a text are the ids of its chunks between spaces and line ends (neither of which yields a token, joins a
-token or composes with a neighbour), so chunks keep their ids in a bounded memo.
+Token ids are those of the tokenizers library. Texts are split at spaces and line ends (which yield no token, join no token
+and compose with no neighbour) and each distinct chunk of a batch is looked up once, in Arrow. Chunks of small letters below
+U+0240, or of these and marks after them, go to the library's BPE model at once, as its normaliser and splitter would not
+change them; any other chunk takes the library's whole way. Texts of such characters, without a special token's sign, are
+put in lower case first. Ids of chunks are kept in a bounded memo.
 
 Defined cases: null text is empty and yields the end id alone; repeated rows are each packed; extra columns are ignored.
 """
@@ -16,17 +19,22 @@ Defined cases: null text is empty and yields the end id alone; repeated rows are
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from math import ceil
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, text_or_empty
 
-MEMO_CHUNKS, MEMO_LENGTH = 600_000, 48
+MEMO_CHUNKS, MEMO_LENGTH = 900_000, 48
+#: See _unusual; marks that may follow a word.
+UNUSUAL, MARKS = re.compile("[\u0130\u0240-\U0010ffff]"), "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 
 class Ids:
@@ -40,28 +48,82 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.memo: dict[str, bytes] = {}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes the other bytes from U+0100 on
+        other = (b for b in range(256) if b not in set(printable))
+        self.letters = str.maketrans({chr(b): chr(256 + k) for k, b in enumerate(other)})
 
-    def of(self, texts: list[str]) -> list[bytes]:
+    def _plain(self, word: str) -> bytes:
+        """Of lower-case letters only."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(word))
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
         memo = self.memo
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in memo})
-        if len(memo) + len(new) > MEMO_CHUNKS:
+        if len(memo) > MEMO_CHUNKS:
             memo.clear()
-            new = list({c for chunks in split for c in chunks})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[c] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        out = [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
-        for c in new:
-            if len(c) > MEMO_LENGTH:
-                memo.pop(c, None)
+        out, hard = [memo.get(c) for c in chunks], []
+        for i, ids in enumerate(out):
+            if ids is not None:
+                continue
+            c = chunks[i]
+            core = c if c.isalpha() else c.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or not UNUSUAL.search(core)) and core.lower() == core:
+                ids = memo.get(core)
+                if ids is None:
+                    ids = self._plain(core)
+                    if len(core) <= MEMO_LENGTH:
+                        memo[core] = ids
+                if len(core) < len(c):
+                    mark = c[len(core) :]
+                    ids += memo.get(mark) or memo.setdefault(mark, self._whole([mark])[0])
+                out[i] = ids
+            else:
+                hard.append(i)
+        for at in range(0, len(hard), 4096):
+            part = hard[at : at + 4096]
+            for i, ids in zip(part, self._whole([chunks[i] for i in part]), strict=True):
+                out[i] = ids
+                if len(chunks[i]) <= MEMO_LENGTH:
+                    memo[chunks[i]] = ids
         return out
 
+    def of(self, texts: pa.Array) -> list[memoryview]:
+        lower = pc.and_not(pc.true_unless_null(texts), pc.or_(pc.match_substring(texts, "<|"), _unusual(texts)))
+        spaced = pc.replace_substring(pc.if_else(lower, pc.utf8_lower(texts), texts), "\n", " ")
+        words = pc.split_pattern(spaced, " ")
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array(self.chunks(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        if not len(ids):
+            return [memoryview(b"")] * len(texts)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][words.offsets.to_numpy() - words.offsets[0].as_py()]
+        data = memoryview(ids.buffers()[2] or b"")
+        return [data[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _unusual(texts: pa.Array) -> pa.Array:
+    """Whether a text has a character from U+0240 on, or U+0130, whose lower case or composition may need the whole way."""
+    start, stop = texts.offset, texts.offset + len(texts) + 1
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[start:stop].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    odd = data >= 0xC9
+    odd[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+    places = np.flatnonzero(odd)
+    return pa.array(np.searchsorted(places, ends[1:]) > np.searchsorted(places, ends[:-1]))
+
 
 _IDS: dict[str, Ids] = {}
 
 
+def _rows_within(column: pa.Array, at: int, rows: int = 2048, size: int = 16_000_000) -> int:
+    """So many rows from ``at`` on hold at most ``size`` bytes; one at least."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset + at : column.offset + min(len(column), at + rows) + 1]
+    return max(1, int(np.searchsorted(ends, int(ends[0]) + size, side="right")) - 1)
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs["text"]).alias("text"))
@@ -72,15 +134,18 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: i
             _IDS[tokenizer_file] = Ids(tokenizer_file)
         ids, end = _IDS[tokenizer_file], end_id.to_bytes(4, "little")
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                keys = b.column(0).slice(at, 256).to_pylist()
+            keys, column, at = b.column(0).to_pylist(), b.column(1), 0
+            while at < b.num_rows:
+                n = _rows_within(column, at)
                 out: list[list] = [[] for _ in names]
-                for key, tokens in zip(keys, ids.of(b.column(1).slice(at, 256).to_pylist()), strict=True):
-                    tokens += end
-                    for k, s in enumerate(range(0, len(tokens), 4 * capacity)):
-                        part = tokens[s : s + 4 * capacity]
-                        for column, v in zip(out, (key, k, s // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            column.append(v)
+                for key, tokens in zip(keys[at : at + n], ids.of(column.slice(at, n)), strict=True):
+                    total = len(tokens) // 4 + 1
+                    for k, s in enumerate(range(0, total, capacity)):
+                        crc = zlib.crc32(tokens[4 * s : 4 * (s + capacity)])
+                        last = s + capacity >= total
+                        for c, v in zip(out, (key, k, s, total - s if last else capacity, zlib.crc32(end, crc) if last else crc), strict=True):
+                            c.append(v)
+                at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
 
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
