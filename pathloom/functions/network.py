@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 V4_FLOOR, V6_FLOOR = 8, 32
 _V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})/(\d{1,2})$"
@@ -37,7 +38,7 @@ def v4_supernets(net: Column, length: Column, floor: int = V4_FLOOR) -> Column:
     return F.transform(chain, lambda n: F.struct(v4_mask(net, n).alias("net"), n.alias("len")))
 
 
-@F.pandas_udf("struct<prefix:string,family:int,len:int>")
+@F.pandas_udf(T.StructType().add("prefix", T.StringType()).add("family", T.IntegerType()).add("len", T.IntegerType()))
 def canonical(text: pd.Series) -> pd.DataFrame:
     """Any prefix with host bits cleared, its family and length; nulls for bad text."""
     import ipaddress
@@ -53,7 +54,7 @@ def canonical(text: pd.Series) -> pd.DataFrame:
     return out.astype({"family": "Int32", "len": "Int32"})
 
 
-@F.pandas_udf("array<struct<prefix:string,len:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("prefix", T.StringType()).add("len", T.IntegerType())))
 def supernets(text: pd.Series) -> pd.Series:
     """Supernet chain of any prefix, most specific first: v4 to /8, v6 to /32; a shorter prefix gives itself alone."""
     import ipaddress
