@@ -5,12 +5,14 @@ shingle; a text without words has an empty set, which links with nothing). Docum
 its least id takes part from then on; so copies never meet.
 
 ``bands`` x ``rows`` minima are banded; at similarity 0.75 the chance that a pair shares no band is (1 - 0.75^4)^32 = 5e-6.
-Pairs are made in two rounds, neither of which emits all pairs of a bucket:
+Pairs are made in three rounds, none of which emits all pairs of a bucket:
 
 1. every class meets the bucket leader (the least id) with which it shares most bands;
-2. where a bucket still has several components, the classes outside its largest component meet those of other components.
+2. where a bucket still has several components, classes outside its largest one meet a few of that one's members;
+3. where it still has, classes outside the largest component meet those of other components with which they share one of
+   their rarest shingles, which is exact: similar sets always do.
 
-So a bucket of n near copies costs n pairs, and no link between different components is left untested. A pair whose
+So a bucket of n near copies costs about n pairs, and no link between different components is lost. A pair whose
 signatures agree in too few places to be similar is dropped (chance below 1e-9 at 0.75), the rest is confirmed on full sets.
 
 Defined cases: null text has no words; rows with a null id link with nothing, have a null component and are kept; rows of
@@ -32,6 +34,8 @@ WORDS, BANDS, ROWS = 5, 32, 4
 MEMO_WORDS = 700_000
 #: Signature places that must agree, of BANDS * ROWS; at similarity 0.75 the mean is 96 and the deviation 4.9.
 AGREE = 64
+#: Members of a bucket's largest component that the others meet in round 2.
+SAMPLES = 6
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,6 +155,58 @@ def _agree(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return rows.where(same >= AGREE).select("u", "v").distinct()
 
 
+def _proven(pairs: DataFrame, marks: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
+    return materialize(confirm(materialize(_agree(pairs, marks, percent), f"{name}-pairs"), texts, percent), f"{name}-links")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def _open_rows(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of buckets with several components: key, id, component c, the bucket's largest component and whether c is another."""
+    placed = materialize(shared.select("key", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed")
+    inside = placed.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.count("*").alias("n"))
+    open_ = materialize(inside.where("n > 1").select("key", F.col("most.c").alias("major")), "open-buckets")
+    return materialize(placed.join(open_, "key").select("key", "id", "c", "major", (F.col("c") != F.col("major")).alias("minor")), "open-rows")
+
+
+def _sampled(rows: DataFrame) -> DataFrame:
+    """Round 2: each class outside a bucket's largest component meets SAMPLES members of that, in one bucket for each such component."""
+    members = rows.where("not minor").groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(SAMPLES)))).alias("v"))
+    chosen = rows.where("minor").groupBy("id", "major").agg(F.min_by("key", F.xxhash64("key")).alias("key"))
+    met = chosen.select("key", F.col("id").alias("u")).join(materialize(members, "bucket-members"), "key").select("u", F.explode("v").alias("v"))
+    return _ordered(met).where("u <> v").distinct()
+
+
+def _by_prefix(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Round 3, exact for all pairs of open rows: of two similar sets, the rarest few shingles (in one order for all) share one.
+
+    A class far from its bucket's others has many shingles of its own before any shared one, so its places rule the others out.
+    """
+    nodes = materialize(rows.groupBy("id").agg(F.first("c").alias("c"), F.max("minor").alias("minor")), "open-nodes")
+
+    def cut(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                sets = [shingles(t).view(np.int64) for t in b.column(1).slice(at, 256).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "s"])
+
+    sets = materialize(texts.join(nodes.select("id"), "id", "left_semi").mapInArrow(cut, "id long, s array<long>"), "open-sets")
+    each = sets.select("id", F.explode("s").alias("s"))
+    often = materialize(each.groupBy("s").agg(F.count("*").alias("f")), "shingle-counts")
+    ranked = each.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))  # one document's shingles
+    prefix = ranked.select("id", F.size("l").alias("n"), F.posexplode(F.expr(f"slice(l, 1, cast(size(l) - ceil(size(l) * {percent} / 100.0) + 1 as int))")).alias("p", "x"))
+    prefix = materialize(prefix.where("x.f > 1").select("id", "n", "p", F.col("x.s").alias("s")).join(nodes, "id"), "prefixes")
+    a = prefix.where("minor").select("s", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("p").alias("pu"), F.col("c").alias("cu"))
+    b = prefix.select("s", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("p").alias("pv"), F.col("c").alias("cv"), "minor")
+    # if this is their first common shingle, what follows must be enough: common >= percent / (100 + percent) of both sizes
+    enough = f"least(nu - pu, nv - pv) * {100 + percent} >= (nu + nv) * {percent}"
+    met = a.join(b, "s").where(f"cu <> cv and (not minor or u > v) and least(nu, nv) * 100 >= greatest(nu, nv) * {percent} and {enough}")
+    return _ordered(met).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least id reachable by links), kept (the row is its component's least)."""
     fp = materialize(fingerprints(docs), "fingerprints")
@@ -169,20 +225,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     votes = shared.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("k"))
     first = votes.groupBy("id").agg(F.max(F.struct("k", (-F.col("leader")).alias("less"))).alias("best")).select(F.col("id").alias("u"), (-F.col("best.less")).alias("v"))
     first = materialize(first, "first-pairs")
-    links = materialize(confirm(_agree(first, marks, percent), texts, percent), "first-links")
+    links = _proven(first, marks, texts, percent, "first")
     label = materialize(components(links), "first-components")
 
-    placed = materialize(shared.select("key", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed")
-    inside = placed.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("most"), F.count("*").alias("n"))
-    open_ = materialize(inside.where("n > 1").select("key", F.col("most.c").alias("major")), "open-buckets")
-    rows = materialize(placed.join(open_, "key").select("key", "id", "c", (F.col("c") != F.col("major")).alias("minor")), "open-rows")
-    a = rows.where("minor").select("key", F.col("id").alias("u"), F.col("c").alias("cu"))
-    b = rows.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("minor").alias("vm"))
-    met = a.join(b, "key").where("cu <> cv and (not vm or u > v)").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    tested = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    second = materialize(_agree(met.join(tested, ["u", "v"], "left_anti"), marks, percent), "second-pairs")
-    more = materialize(confirm(second, texts, percent), "second-links")
-    label = materialize(components(links.unionByName(more)), "components")
+    rows = _open_rows(shared, label)
+    if not rows.isEmpty():
+        more = _proven(_sampled(rows).join(_ordered(first), ["u", "v"], "left_anti"), marks, texts, percent, "second")
+        links = links.unionByName(more)
+        label = materialize(components(links), "second-components")
+        rows = _open_rows(shared, label)
+    if not rows.isEmpty():
+        more = _proven(_by_prefix(rows, texts, percent), marks, texts, percent, "third")
+        label = materialize(components(links.unionByName(more)), "components")
 
     final = materialize(classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("h", F.coalesce("component", "id").alias("component_id")), "class-components")
     linked = real.select("doc_id", "n_shingles", "h").join(final, "h").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
