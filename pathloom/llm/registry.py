@@ -60,5 +60,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return found | {"pipeline": corpus_pipeline.run}
 
 
+#: Of the operators that SQL can express; the others are tested against brute-force versions.
+OP3_SQL = """
+with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h from pages),
+g as (select h, max(page_id) top, count(*) n from p group by 1),
+d as (select p.*, g.top, g.n, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+   lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(p.h, i * 5 + 1, 5))::int >> k) & 31) + 1, 1)), '')), '') digest from p join g using (h))
+select page_id, strlen(html)::bigint payload_bytes, digest payload_digest, case when n = 1 or page_id = top then 'response' else 'revisit' end record_type,
+   case when n > 1 and page_id <> top then top end refers_to from d"""
+
+OP4_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end sh from w),
+e as (select doc_id, unnest(sh) g from s),
+p as (select a.doc_id u, b.doc_id v, count(*) c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select u, v from p join s x on x.doc_id = u join s y on y.doc_id = v where 100 * c >= 75 * (len(x.sh) + len(y.sh) - c)),
+b as (select u, v from l union select v, u from l),
+r(u, v) as (select u, v from b union select r.u, b.v from r join b on b.u = r.v)
+select s.doc_id, len(sh)::bigint n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) component_id, s.doc_id <= coalesce(m, s.doc_id) kept from s left join (select u, min(v) m from r group by 1) t on t.u = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL, "op4_near_duplicates": OP4_SQL}
