@@ -15,16 +15,14 @@ def upstream_share(rows: DataFrame, least: float = 0.7) -> DataFrame:
 
 def components(edges: DataFrame, most: int = 50) -> DataFrame:
     """(a, b) -> (node, component): the least node that is reachable. Labels spread by joins and jump over each other."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("c"))
-    both, label = both.checkpoint() if _can_checkpoint(edges) else both, label
     before = None
     for _ in range(most):
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("m"))
         moved = label.join(near, "node").select("node", F.least("c", "m").alias("c"))
         jump = moved.select(F.col("node").alias("c"), F.col("c").alias("far"))
-        label = moved.join(jump, "c", "left").select("node", F.coalesce("far", "c").alias("c"))
-        label = label.checkpoint() if _can_checkpoint(edges) else label
+        label = _cut(moved.join(jump, "c", "left").select("node", F.coalesce("far", "c").alias("c")))
         now = label.agg(F.sum("c"), F.count("*")).first()
         if now == before:
             break
@@ -32,11 +30,11 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     return label.withColumnRenamed("c", "component")
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    """Checkpoints need a shared folder: the session's, or one set here where it names none (tests)."""
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the session's shared folder; one is set only where the session names none (tests)."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathloom-"))
-    return True
+    return df.checkpoint()
