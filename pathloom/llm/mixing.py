@@ -3,8 +3,8 @@
 Domains come from a labelled table. A multinomial classifier over hashed words and word shapes, trained on a bounded sample
 of it, gives every document its posteriors p_k. Rates r >= 0 are then fitted to all documents so that each domain's expected
 tokens, the sum of r x tokens x p_k, match its target: least squares by projected gradient, from r = 1, in the metric of the
-tokens (long and short documents are moved alike). An iteration is one aggregation to as many numbers as there are domains;
-the residuals of all iterations, as literals, are the whole state, so nothing grows with the documents but their own rows.
+tokens (long and short documents are moved alike). An iteration is one aggregation to a few numbers for each pair of domains;
+the steps of all iterations are the whole state, so nothing grows with the documents but their own rows.
 
 The targets' total is chosen so that the anchor domain keeps just the tokens it has. ``copies`` rounds a rate to whole
 documents: rates within ``slack`` of a whole number are that number, others are rounded up with their fraction's probability,
@@ -42,14 +42,15 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 def _word(w: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lower(w)), F.lit(BUCKETS)).cast("int")
+    """The word's beginning: endings vary, beginnings tell."""
+    return F.pmod(F.xxhash64(F.left(F.lower(w), F.lit(4))), F.lit(BUCKETS)).cast("int")
 
 
 def _shape(w: Column) -> Column:
     return F.pmod(F.hash(F.ascii(w), F.ascii(F.right(w, F.lit(1)))), F.lit(SHAPES)).cast("int") + BUCKETS
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, smooth: float = 0.5) -> tuple[list[list[float]], list[float]] | None:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, smooth: float = 0.5) -> tuple[list[list[float]], list[float]] | None:
     """Weights of each domain for each feature, and the log priors. The sample: labelled ids with the least hashes."""
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].alias("quality"), labels["toxic"].alias("toxic")).where("id is not null and (quality is not null or toxic is not null)")
     known = known.groupBy("id").agg(F.max(label_domain()).alias("domain"))
@@ -57,22 +58,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, smooth: flo
     if not shares:
         return None
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    words = _words(docs).where("w <> ''").join(F.broadcast(chosen), "id")
-    both = words.select("domain", F.explode(F.array(_word(F.col("w")), _shape(F.col("w")))).alias("f"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"), "left_semi")
+    one_each = texts.groupBy(F.xxhash64("text")).agg(F.min("doc_id").alias("id")).select("id").distinct()  # copies count once
+    chosen = materialize(chosen.join(F.broadcast(one_each), "id", "left_semi"), "labelled-sample")
+    words = _words(texts).where("w <> ''").join(F.broadcast(chosen), "id")
+    both = words.select("id", "domain", F.explode(F.array(_word(F.col("w")), _shape(F.col("w")))).alias("f"))
+    per = both.groupBy("id", "domain", "f").agg(F.count("*").alias("n"))
     size, domains = BUCKETS + SHAPES, len(DOMAINS)
-    c = [[0.0] * size for _ in range(domains)]
-    for r in both.groupBy("domain", "f").agg(F.count("*").alias("n")).collect():  # size x domains rows at most
+    c, docs_with = [[0.0] * size for _ in range(domains)], [[0.0] * size for _ in range(domains)]
+    for r in per.groupBy("domain", "f").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect():  # size x domains rows at most
         c[r.domain][r.f] += r.n
-    everything = [sum(c[k][f] for k in range(domains)) for f in range(size)]
-    total = sum(everything) or 1.0
+        docs_with[r.domain][r.f] += r.m
+    everything, everywhere = ([sum(x[k][f] for k in range(domains)) for f in range(size)] for x in (c, docs_with))
+    total, sampled = sum(everything) or 1.0, chosen.groupBy("domain").count().collect()
+    of = {r.domain: r["count"] for r in sampled}
     weights = []
     for k in range(domains):
-        mine = sum(c[k])
-        expected = [n * mine / total for n in everything]
-        differs = [abs(c[k][f] - expected[f]) > 4 * math.sqrt(expected[f] + 1) for f in range(size)]
+        expected = [n * sum(c[k]) / total for n in everything]
+        share = of.get(k, 0) / max(1, sum(of.values()))
+        # a sign of the domain: the number of its documents with the feature is far from what chance gives, and so are its uses
+        log_ratio = [math.log((c[k][f] + smooth) / (expected[f] + smooth)) for f in range(size)]
+        differs = [abs(log_ratio[f]) > 0.7 and abs(docs_with[k][f] - everywhere[f] * share) > 5 * math.sqrt(everywhere[f] * share * (1 - share) + 1) for f in range(size)]
         rest, rest_expected = (sum(x[f] for f in range(size) if not differs[f]) for x in (c[k], expected))
-        common = math.log((rest + smooth) / (rest_expected + smooth))  # what features tell that are no sign of a domain
-        weights.append([math.log((c[k][f] + smooth) / (expected[f] + smooth)) if differs[f] else common for f in range(size)])
+        common = math.log((rest + smooth) / (rest_expected + smooth))  # what other features tell
+        weights.append([log_ratio[f] if differs[f] else common for f in range(size)])
     labelled = sum(shares.values())
     return weights, [math.log((shares.get(k, 0) + smooth) / (labelled + smooth * domains)) for k in range(domains)]
 
@@ -90,23 +99,54 @@ def posteriors(docs: DataFrame, model: tuple[list[list[float]], list[float]], he
     return some.select("id", "n_tokens", *((x / sum(e[1:], e[0])).alias(f"p{k}") for k, x in enumerate(e)))
 
 
-def rates(p: DataFrame, targets: dict[str, float], anchor: str = "good", most: int = 60, close: float = 1e-4) -> DataFrame:
-    """(id, n_tokens, p0..) -> the same and rate."""
-    ks = range(len(DOMAINS))
-    tokens = lambda r: [F.coalesce(F.sum(r * F.col("n_tokens") * F.col(f"p{k}")), F.lit(0.0)).alias(f"s{k}") for k in ks]
-    there = list(p.agg(*tokens(F.lit(1.0))).first())
+def _solve(a: list[list[float]], b: list[float]) -> list[float]:
+    """x of a x = b by elimination with pivots; a is small and made regular by its caller."""
+    m = [[*row, v] for row, v in zip(a, b, strict=True)]
+    n = len(m)
+    for i in range(n):
+        j = max(range(i, n), key=lambda k: abs(m[k][i]))
+        m[i], m[j] = m[j], m[i]
+        for k in range(i + 1, n):
+            f = m[k][i] / m[i][i]
+            m[k] = [x - f * y for x, y in zip(m[k], m[i], strict=True)]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (m[i][n] - sum(m[i][k] * x[k] for k in range(i + 1, n))) / m[i][i]
+    return x
+
+
+def rates(p: DataFrame, targets: dict[str, float], anchor: str = "good", most: int = 30, close: float = 1e-4) -> DataFrame:
+    """(id, n_tokens, p0..) -> the same and rate.
+
+    The gradient is scaled by the Gram matrix of the posteriors over the rows that are not at zero, so a handful of
+    iterations is enough. The steps so far stand in one array literal: the plan's code is the same in every iteration.
+    """
+    n = len(DOMAINS)
+    ks = range(n)
+    there = list(p.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in ks)).first())
     scale = sum(targets.values())
     share = [targets[d] / scale for d in DOMAINS]
     total = there[DOMAINS.index(anchor)] / share[DOMAINS.index(anchor)]
     wanted = [s * total for s in share]
-    rate = F.lit(1.0)
+    steps: list[list[float]] = []
+
+    def rate() -> Column:
+        if not steps:
+            return F.lit(1.0)
+        table = F.transform(F.split(F.lit(";".join(",".join(map(repr, s)) for s in steps)), ";"), lambda s: F.split(s, ",").cast("array<double>"))
+        return F.aggregate(table, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.col(f"p{k}") * F.get(s, F.lit(k)) for k in ks), F.lit(0.0))))
+
     for _ in range(most):
-        have = list(p.agg(*tokens(rate)).first())
-        if all(abs(h - t) <= close * max(t, 1.0) for h, t in zip(have, wanted, strict=True)):
+        d = p.select("n_tokens", *(f"p{k}" for k in ks), rate().alias("r"))
+        t = F.col("n_tokens")
+        gram = [F.coalesce(F.sum(F.when(F.col("r") > 0, t * F.col(f"p{i}") * F.col(f"p{j}"))), F.lit(0.0)) for i in ks for j in ks]
+        got = list(d.agg(*(F.coalesce(F.sum(F.col("r") * t * F.col(f"p{k}")), F.lit(0.0)) for k in ks), *gram).first())
+        have, g = got[:n], [got[n + n * i : n + n * (i + 1)] for i in ks]
+        if all(abs(h - w) <= close * max(w, 1.0) for h, w in zip(have, wanted, strict=True)):
             break
-        step = sum((F.col(f"p{k}") * ((have[k] - wanted[k]) / max(there[k], 1.0)) for k in ks), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - step)
-    return p.withColumn("rate", rate)
+        ridge = 1e-9 * (1.0 + sum(g[i][i] for i in ks))
+        steps.append(_solve([[g[i][j] + ridge * (i == j) for j in ks] for i in ks], [h - w for h, w in zip(have, wanted, strict=True)]))
+    return p.withColumn("rate", rate())
 
 
 def copies(slack: float = 0.05) -> Column:
