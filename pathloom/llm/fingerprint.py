@@ -27,14 +27,16 @@ from .shared import materialize, parts, text_or_empty
 RANGES, WIDTH = 3, 4
 CELLS = RANGES * WIDTH
 ROUNDS, MOST_LEVELS = 8, 12
+#: Ranges of ids; what reaches the driver has a row for each.
+MOST_RANGES = 20_000
 LEAST_ID = -(1 << 63)
 
 
 def _with_next(rows: DataFrame) -> DataFrame:
     """(id, text) -> (id, text, next): the text of the following row by descending id."""
     spark = rows.sparkSession
-    n = 4 * parts(spark)
-    found = rows.select("id").agg(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n).alias("q"), F.max("id").alias("top")).first()
+    n = min(4 * parts(spark), MOST_RANGES)
+    found = rows.select("id").agg(F.percentile_approx("id", [k / n for k in range(1, n)], min(20 * n, 200_000)).alias("q"), F.max("id").alias("top")).first()
     bounds = sorted(set(found.q or []))
     text = F.lit(",".join(map(str, bounds)))
     edges = F.split(text, ",").cast("array<long>") if bounds else F.array().cast("array<long>")
