@@ -11,11 +11,13 @@ from ..operators import calibrate as C
 from ..operators import completeness as K
 from ..operators import evaluate as E
 from ..operators import pairs as Q
+from ..operators import profiles as R
 from ..operators import sampling as S
 from ..sources import fixtures as X
 from ..sources.readers import read_table
 from .geometry import PAIRS, SCORED, poin, scored
 from .registered import query
+from .routes import HAM, HOPS, PRINTS, WORDS
 
 # --- calibration ---
 
@@ -351,6 +353,41 @@ def category_distances(spark, d):
     return scored(spark, d).groupBy(category().alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("dist_pa"), 4).alias("mean_pa"))
 
 
+@query(
+    f"select a.asn, b.asn other, round({poin('a.vec', 'b.vec')}, 6) d from (select asn, (((asn % 1000003) * 1103515245 + (i + 1) * 12345 * 7919) % 2147483647) % (select count(*) from as_emb) + 1 other from (select asn, unnest(range(3)) i from as_emb)) p join as_emb a on a.asn = p.asn join as_emb b on b.asn = p.other where p.asn <> p.other group by all",
+    X.EMB,
+)
+def random_pair_distances(spark, d):
+    """Distances of seeded random pairs of networks."""
+    e = X.as_embeddings(spark, d)
+    drawn = Q.negatives(e.select(F.col("asn").alias("pid")), e.count(), 3).where("pid <> asn")
+    a, b = e.select(F.col("asn").alias("pid"), F.col("vec").alias("va")), e.select("asn", F.col("vec").alias("vb"))
+    return drawn.join(a, "pid").join(b, "asn").select(F.col("pid").alias("asn"), F.col("asn").alias("other"), F.round(G.poincare(F.col("va"), F.col("vb")), 6).alias("d"))
+
+
+@query(
+    f"select ha, hb, count(*)::bigint n, round(avg(d), 4) mean from (select a.hop ha, b.hop hb, {poin('x.vec', 'y.vec')} d from hops a join hops b on a.prefix_id = b.prefix_id and a.asn < b.asn join as_emb x on x.asn = a.asn join as_emb y on y.asn = b.asn where a.hop < 2 and b.hop < 2 and a.prefix_id % 7 = 0) group by 1, 2",
+    X.ANN, X.EMB, HOPS,
+)
+def near_hop_pairs(spark, d):
+    """Distances between networks that are both near one prefix's origin, by their hops; each pair of networks is measured once."""
+    near = R.min_hops(X.announcements(spark, d)).where("hop < 2 and prefix_id % 7 = 0").select("prefix_id", "asn", "hop")
+    other = near.select("prefix_id", F.col("asn").alias("b"), F.col("hop").alias("hb"))
+    n = near.join(other, "prefix_id").where("asn < b").groupBy(F.col("asn").alias("a"), "b", F.col("hop").alias("ha"), "hb").agg(F.count("*").alias("n"))
+    e = X.as_embeddings(spark, d)
+    m = n.join(e.select(F.col("asn").alias("a"), F.col("vec").alias("va")), "a").join(e.select(F.col("asn").alias("b"), F.col("vec").alias("vb")), "b").withColumn("d", G.poincare(F.col("va"), F.col("vb")))
+    return m.groupBy("ha", "hb").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("d") * F.col("n")) / F.sum("n"), 4).alias("mean"))
+
+
+@query("select bin, prefix_id, other, h from (select *, row_number() over (partition by bin order by prefix_id) k from (select prefix_id, prefix_id + 1 other, h, h // 16 bin from ham)) where k <= 40", X.ANN, WORDS, PRINTS, HAM)
+def similarity_bin_samples(spark, d):
+    """Pairs of fingerprints by similarity bin, at most forty a bin (a sampling operator)."""
+    from .routes import simhash_hamming_pairs
+
+    h = simhash_hamming_pairs(spark, d).select("prefix_id", (F.col("prefix_id") + 1).alias("other"), "h", F.floor(F.col("h") / 16).cast("int").alias("bin"))
+    return S.smallest(h, "bin", "prefix_id", "other", 40).select("bin", "prefix_id", "other", "h")
+
+
 @query(None)
 def zoom_box(spark, d):
     e = read_table(spark, d, "embeddings").select(F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"), (F.col("label") % 3).alias("g"))
