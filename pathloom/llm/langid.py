@@ -6,7 +6,7 @@ character, phrases x log2(length of the language's text) / characters, and the l
 languages are decided by name.
 
 For speed the greedy parse is compiled: in a dense table over a small alphabet, a state without the wanted transition
-goes where the start state would go and marks a phrase's end. Documents are parsed in blocks of ``BLOCK`` characters that
+goes where the start state would go and marks a new phrase. Documents are parsed in blocks of ``BLOCK`` characters that
 start anew, so thousands of blocks step through the table together and a very long document is no long task.
 
 The training text is a bounded sample: ``train_chars`` characters a language, an equal share from each of ``train_docs``
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import id_remainder
+from .shared import arrow, id_remainder, in_share, release
 
 BLOCK, BREAK = 512, np.int32(-0x80000000)
 #: Texts parsed at once hold about so many characters.
-PARSE_CHARS = 4_000_000
+PARSE_CHARS = 2_000_000
 
 
 def alphabet(texts: list[str], size: int) -> np.ndarray:
@@ -89,10 +89,16 @@ def suffix_automaton(seq: list[int], size: int) -> np.ndarray:
 
 
 def compile_parse(auto: np.ndarray, size: int) -> np.ndarray:
-    """Greedy parsing as one table: state * size + class gives the next state * size; BREAK marks that a phrase ended."""
-    after = auto.astype(np.int32) * size
-    missing = auto == 0
-    return np.where(missing, after[0][None, :] | BREAK, after).astype(np.int32).ravel()
+    """Greedy parsing as one table: state * size + class gives the next state * size; BREAK marks that a new phrase began.
+
+    A symbol that the sample lacks is a phrase of its own: it leads to a last, added state that every symbol leaves by a break.
+    """
+    alone = np.int32(len(auto) * size)
+    start = auto[0].astype(np.int32) * size
+    afresh = np.where(start == 0, alone, start) | BREAK
+    after = np.where(auto == 0, afresh[None, :], auto.astype(np.int32) * size)
+    after[0] = np.where(start == 0, alone, start)
+    return np.vstack([after, afresh[None, :]]).astype(np.int32).ravel()
 
 
 class Model:
@@ -166,10 +172,14 @@ def fit(docs: DataFrame, train_docs: int = 200, train_chars: int = 40_000, max_l
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(id_remainder("doc_id", 5) != 0, F.lit(False))
     )
-    langs = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    langs = list(sizes)
+    share = F.lit(0.0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, 1.5 * train_docs / n + 20 / n).otherwise(share)
     first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     chosen = (
-        rows.where(F.col("lang").isin(langs))
+        rows.where(in_share("doc_id", share))
         .select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, max(1, train_chars // train_docs)).alias("text"))
         .withColumn("k", F.row_number().over(first))
         .where(F.col("k") <= train_docs)
@@ -206,5 +216,6 @@ def _parse(docs: DataFrame, columns: list, model: Model, kept: list[str]) -> Dat
                 got = m.predict(part.column(part.num_columns - 1).to_pylist())
                 made = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays(part.columns[:-1] + made, names=[*kept, "lang_pred", "score"])
+        release()
 
-    return rows.mapInArrow(parse, schema)
+    return arrow(rows, parse, schema)

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_or_empty
+from .shared import in_share, materialize, text_or_empty
 
 BUCKETS, SHAPES = 8192, 1024
 DOMAINS = ("good", "low", "toxic")
@@ -57,7 +57,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, smooth: f
     shares = {r.domain: r.n for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not shares:
         return None
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    near = known.where(in_share("id", 1.2 * sample_docs / sum(shares.values())))
+    chosen = near.orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"), "left_semi")
     one_each = texts.groupBy(F.xxhash64("text")).agg(F.min("doc_id").alias("id")).select("id").distinct()  # copies count once
     chosen = materialize(chosen.join(F.broadcast(one_each), "id", "left_semi"), "labelled-sample")

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize
+from .shared import arrow, materialize, release
 
 WORDS, BANDS, ROWS = 5, 32, 4
-MEMO_WORDS = 700_000
+MEMO_WORDS = 250_000
 #: Signature places that must agree, of BANDS * ROWS; at similarity 0.75 the mean is 96 and the deviation 4.9.
 AGREE = 64
 #: Members of a bucket's largest component that the others meet in round 2.
@@ -58,6 +58,11 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _end_task() -> None:
+    _WORDS.clear()
+    release()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -110,8 +115,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(full, pa.string()), lists, pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "h", "keys", "sig"])
+        _end_task()
 
-    return rows.mapInArrow(run, FINGERPRINT)
+    return arrow(rows, run, FINGERPRINT)
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -141,8 +147,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     ok.append(_similar(shingles(tu), known, percent))
                 mask = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([us.filter(mask), vs.filter(mask)], names=["u", "v"])
+        _end_task()
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return arrow(rows, run, "u long, v long").distinct()
 
 
 def _agree(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -192,8 +199,9 @@ def _by_prefix(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 sets = [shingles(t).view(np.int64) for t in b.column(1).slice(at, 256).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "s"])
+        _end_task()
 
-    sets = materialize(texts.join(nodes.select("id"), "id", "left_semi").mapInArrow(cut, "id long, s array<long>"), "open-sets")
+    sets = materialize(arrow(texts.join(nodes.select("id"), "id", "left_semi"), cut, "id long, s array<long>"), "open-sets")
     each = sets.select("id", F.explode("s").alias("s"))
     often = materialize(each.groupBy("s").agg(F.count("*").alias("f")), "shingle-counts")
     ranked = each.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))  # one document's shingles

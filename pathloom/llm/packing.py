@@ -30,9 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_or_empty
+from .shared import arrow, materialize, release, text_or_empty
 
-MEMO_CHUNKS, MEMO_LENGTH = 900_000, 48
+MEMO_CHUNKS, MEMO_LENGTH = 500_000, 48
 #: See _unusual; marks that may follow a word.
 UNUSUAL, MARKS = re.compile("[\u0130\u0240-\U0010ffff]"), "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 
@@ -118,7 +118,7 @@ def _unusual(texts: pa.Array) -> pa.Array:
 _IDS: dict[str, Ids] = {}
 
 
-def _rows_within(column: pa.Array, at: int, rows: int = 2048, size: int = 16_000_000) -> int:
+def _rows_within(column: pa.Array, at: int, rows: int = 2048, size: int = 8_000_000) -> int:
     """So many rows from ``at`` on hold at most ``size`` bytes; one at least."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset + at : column.offset + min(len(column), at + rows) + 1]
     return max(1, int(np.searchsorted(ends, int(ends[0]) + size, side="right")) - 1)
@@ -147,8 +147,10 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: i
                             c.append(v)
                 at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+        ids.memo.clear()
+        release()
 
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # --- the grouping genetic algorithm, over lists of lengths ---

@@ -5,8 +5,8 @@ the log-likelihood ratio of two first-order character models, one of random stri
 above the threshold that overlap no base span are added as kind ``markov``.
 
 The models are trained from labelled samples: random are the values of base spans and generated hashes in the usual
-alphabets, ordinary the words outside base spans. The corpus part of the sample is bounded (``sample_docs`` documents with
-the least hashes of their ids, whole texts); what reaches the driver are two tables of at most 96 x 96 counts.
+alphabets, ordinary the words outside base spans. The corpus part of the sample is bounded (about ``sample_docs`` documents by
+a hash of their ids, whole texts); what reaches the driver are two tables of at most 96 x 96 counts.
 
 Positions are code points, found by lengths alone: a text is the alternation of the gaps that ``split`` gives and the matches
 that ``regexp_extract_all`` gives for the same pattern.
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import in_share, text_or_empty
 
 # fixed values: the base patterns
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -83,9 +83,7 @@ def fit(docs: DataFrame, sample_docs: int = 4000, smooth: float = 0.5) -> list[f
     """The log-likelihood ratio of each pair of characters, row by row."""
     spark = docs.sparkSession
     d = docs.select(docs["doc_id"].alias("doc_id"), text_or_empty(docs["text"]).alias("text"))
-    h = F.xxhash64("doc_id")
-    least = [r.h for r in d.select(h.alias("h")).orderBy("h").limit(sample_docs).collect()]
-    sample = _base(d.where(h <= (least[-1] if least else 0)).select("text"), F.col("text"))
+    sample = _base(d.where(in_share("doc_id", sample_docs / max(1, d.count()))).select("text"), F.col("text"))
     values = sample.select(F.explode("_base").alias("x")).select(F.col("x.v").alias("v"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), HEX_LONG, " "), ACCESS_LONG, " ")
     words = sample.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("v"))

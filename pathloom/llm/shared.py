@@ -37,11 +37,48 @@ def id_remainder(doc_id: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(n)
 
 
+def in_share(key: str | Column, fraction: float | Column) -> Column:
+    """Whether a row is in a hash share of the keys. Samples are cut to about their size by it before any ordering, so that
+    neither a task nor the driver gets a number of rows for each partition."""
+    h = F.xxhash64(F.col(key) if isinstance(key, str) else key, F.lit("share"))
+    share = F.lit(fraction) if isinstance(fraction, float) else fraction
+    return F.pmod(h, F.lit(1 << 40)) < share * F.lit(float(1 << 40))
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     c = F.col(text) if isinstance(text, str) else text
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+#: Texts may be long: what a Python worker gets at once has so many rows and bytes at most (Spark's own defaults are larger).
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def arrow(rows: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with small batches: lowers the session's limits where they are higher."""
+    spark = rows.sparkSession
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+    return rows.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give a Python worker's free memory back to the system at the end of a task: the process stays for other stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

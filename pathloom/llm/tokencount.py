@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import text_or_empty
+from .shared import arrow, text_or_empty
 
 #: Bounds of one worker's memos.
 MEMO_UNITS, MEMO_PAIRS, MEMO_LENGTH = 1_200_000, 600_000, 48
@@ -173,4 +173,4 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
                 )
 
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return arrow(rows, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")

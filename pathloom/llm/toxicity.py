@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import id_remainder, text_or_empty
+from .shared import arrow, id_remainder, in_share, text_or_empty
 
 MEMO_WORDS, MEMO_LENGTH, BLOCK = 700_000, 40, 400
 THRESHOLD = 0.7
@@ -128,8 +128,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, clean_each: in
     """Learn from the bounded sample above, the only rows that reach the driver."""
     known = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (id_remainder("doc_id", 3) != 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    most = {1: per_class, 0: per_class * clean_each}
+    share = F.when(F.col("toxic") == 1, 1.5 * most[1] / max(1, sizes.get(1, 0))).otherwise(1.5 * most[0] / max(1, sizes.get(0, 0)))
+    known = known.where(in_share("doc_id", share))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = {r.doc_id: r.toxic for r in known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.when(F.col("toxic") == 1, per_class).otherwise(per_class * clean_each)).collect()}
+    chosen = {r.doc_id: r.toxic for r in known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.when(F.col("toxic") == 1, most[1]).otherwise(most[0])).collect()}
     if not chosen:
         return train([], **how)
     texts = docs.select(docs["doc_id"].alias("doc_id"), text_or_empty(docs["text"]).alias("text"))
@@ -154,4 +158,4 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 s = [m.score(t) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int")

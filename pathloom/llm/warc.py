@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import arrow, materialize
 
 CHUNK = 64 * 1024
 #: Up to so many groups of equal payloads (about 60 bytes each) are broadcast; beyond, they are joined by shuffle.
@@ -93,7 +93,7 @@ def write(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
                     out, held = [], 0
         yield _chunks(out)
 
-    return materialize(rows.mapInArrow(run, CHUNKS), "warc")
+    return materialize(arrow(rows, run, CHUNKS), "warc")
 
 
 def _chunks(rows: list[tuple]) -> pa.RecordBatch:
@@ -166,7 +166,7 @@ def read(chunks: DataFrame) -> DataFrame:
             done.append(parser.close())
         yield pa.RecordBatch.from_pylist(done, schema=schema)
 
-    return rows.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return arrow(rows, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def export(chunks: DataFrame, archive: int) -> Iterator[bytes]:
