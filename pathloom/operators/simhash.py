@@ -11,16 +11,22 @@ from ..functions.bits import edge_words
 def simhash(edges: DataFrame, alpha: float = 0.5) -> DataFrame:
     """(prefix_id, u, v, depth, n) -> (prefix_id, fp_lo, fp_hi).
 
-    Votes are integers by (profile, bit, depth), so sums don't depend on the order of rows; exp(-alpha depth) weighs them in
-    order of depth. Words are computed once for each different edge, and the 128 bits fan out only after equal edges merged.
+    Votes are integers by (profile, depth, bit), so sums don't depend on the order of rows; exp(-alpha depth) weighs them in
+    order of depth. Words are computed once for each different edge; the 128 bits are columns of one aggregation, so rows
+    never fan out.
     """
     words = edge_words(edges.select("u", "v").distinct())
     rows = edges.join(words, ["u", "v"]).select("prefix_id", "depth", "n", "h1", "h2")
-    bits = rows.select("prefix_id", "depth", "n", "h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("bit"))
-    word = F.when(F.col("bit") < 64, F.col("h1")).otherwise(F.col("h2"))
-    on = F.getbit(word, F.pmod("bit", F.lit(64)))
-    votes = bits.groupBy("prefix_id", "bit", "depth").agg(F.sum(F.when(on == 1, F.col("n")).otherwise(-F.col("n"))).alias("votes"))
-    by_bit = votes.groupBy("prefix_id", "bit").agg(F.sort_array(F.collect_list(F.struct("depth", "votes"))).alias("d"))
-    total = F.aggregate("d", F.lit(0.0), lambda s, x: s + x["votes"] * F.exp(x["depth"] * -alpha))
-    one = lambda cond: F.bit_or(F.when(cond & (total > 0), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)))).otherwise(F.lit(0).cast("long")))
-    return by_bit.groupBy("prefix_id").agg(one(F.col("bit") < 64).alias("fp_lo"), one(F.col("bit") >= 64).alias("fp_hi"))
+    vote = lambda word, k: F.sum(F.when(F.getbit(word, F.lit(k)) == 1, F.col("n")).otherwise(-F.col("n")))
+    bits = [vote("h1", k).alias(f"b{k}") for k in range(64)] + [vote("h2", k).alias(f"b{64 + k}") for k in range(64)]
+    by_depth = rows.groupBy("prefix_id", "depth").agg(*bits).select("prefix_id", "depth", F.array(*(f"b{k}" for k in range(128))).alias("v"))
+    lists = by_depth.groupBy("prefix_id").agg(F.sort_array(F.collect_list(F.struct("depth", "v"))).alias("d"))  # a path's depths at most
+    zero = F.array_repeat(F.lit(0.0), 128)
+    total = F.aggregate("d", zero, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b * F.exp(x["depth"] * -alpha)))
+    on = lists.select("prefix_id", F.transform(total, lambda t: F.when(t > 0, 1).otherwise(0).cast("long")).alias("on"))
+
+    def word(first: int):
+        part = F.slice("on", first + 1, 64)  # the highest bit first
+        return F.aggregate(F.reverse(part), F.lit(0).cast("long"), lambda w, b: F.shiftleft(w, 1).bitwiseOR(b))
+
+    return on.select("prefix_id", word(0).alias("fp_lo"), word(64).alias("fp_hi"))
