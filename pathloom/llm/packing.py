@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import arrow, materialize, release, text_or_empty
 
-MEMO_CHUNKS, MEMO_LENGTH = 500_000, 48
+MEMO_CHUNKS, MEMO_LENGTH = 300_000, 48
 #: See _unusual; marks that may follow a word.
 UNUSUAL, MARKS = re.compile("[\u0130\u0240-\U0010ffff]"), "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 
@@ -118,7 +118,7 @@ def _unusual(texts: pa.Array) -> pa.Array:
 _IDS: dict[str, Ids] = {}
 
 
-def _rows_within(column: pa.Array, at: int, rows: int = 2048, size: int = 8_000_000) -> int:
+def _rows_within(column: pa.Array, at: int, rows: int = 1024, size: int = 4_000_000) -> int:
     """So many rows from ``at`` on hold at most ``size`` bytes; one at least."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset + at : column.offset + min(len(column), at + rows) + 1]
     return max(1, int(np.searchsorted(ends, int(ends[0]) + size, side="right")) - 1)

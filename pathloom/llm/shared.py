@@ -51,7 +51,7 @@ def text_or_empty(text: str | Column = "text") -> Column:
 
 
 #: Texts may be long: what a Python worker gets at once has so many rows and bytes at most (Spark's own defaults are larger).
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def arrow(rows: DataFrame, run, schema) -> DataFrame:
