@@ -365,13 +365,9 @@ def random_pair_distances(spark, d):
     return drawn.join(a, "pid").join(b, "asn").select(F.col("pid").alias("asn"), F.col("asn").alias("other"), F.round(G.poincare(F.col("va"), F.col("vb")), 6).alias("d"))
 
 
-@query(
-    f"select ha, hb, count(*)::bigint n, round(avg(d), 4) mean from (select a.hop ha, b.hop hb, {poin('x.vec', 'y.vec')} d from hops a join hops b on a.prefix_id = b.prefix_id and a.asn < b.asn join as_emb x on x.asn = a.asn join as_emb y on y.asn = b.asn where a.hop < 2 and b.hop < 2 and a.prefix_id % 7 = 0) group by 1, 2",
-    X.ANN, X.EMB, HOPS,
-)
-def near_hop_pairs(spark, d):
-    """Distances between networks that are both near one prefix's origin, by their hops; each pair of networks is measured once."""
-    near = R.min_hops(X.announcements(spark, d)).where("hop < 2 and prefix_id % 7 = 0").select("prefix_id", "asn", "hop")
+def _near_pairs(spark, d, hops):
+    """Each pair of networks is measured once."""
+    near = hops.where("hop < 2").select("prefix_id", "asn", "hop")
     other = near.select("prefix_id", F.col("asn").alias("b"), F.col("hop").alias("hb"))
     n = near.join(other, "prefix_id").where("asn < b").groupBy(F.col("asn").alias("a"), "b", F.col("hop").alias("ha"), "hb").agg(F.count("*").alias("n"))
     e = X.as_embeddings(spark, d)
@@ -379,6 +375,21 @@ def near_hop_pairs(spark, d):
     return m.groupBy("ha", "hb").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("d") * F.col("n")) / F.sum("n"), 4).alias("mean"))
 
 
+@query(
+    f"select ha, hb, count(*)::bigint n, round(avg(d), 4) mean from (select a.hop ha, b.hop hb, {poin('x.vec', 'y.vec')} d from hops a join hops b on a.prefix_id = b.prefix_id and a.asn < b.asn join as_emb x on x.asn = a.asn join as_emb y on y.asn = b.asn where a.hop < 2 and b.hop < 2 and a.prefix_id % 7 = 0) group by 1, 2",
+    X.ANN, X.EMB, HOPS,
+)
+def near_hop_pairs(spark, d):
+    """The slice of ``near_hop_pairs_all`` that the SQL states."""
+    return _near_pairs(spark, d, R.min_hops(X.announcements(spark, d)).where("prefix_id % 7 = 0"))
+
+
+@query(None)
+def near_hop_pairs_all(spark, d):
+    """Distances between networks that are both near one prefix's origin, by their hops, over every prefix."""
+    return _near_pairs(spark, d, R.min_hops(X.announcements(spark, d)))
+
+
 @query("select bin, prefix_id, other, h from (select *, row_number() over (partition by bin order by prefix_id) k from (select prefix_id, prefix_id + 1 other, h, h // 16 bin from ham)) where k <= 40", X.ANN, WORDS, PRINTS, HAM)
 def similarity_bin_samples(spark, d):
     """Pairs of fingerprints by similarity bin, at most forty a bin (a sampling operator)."""
