@@ -6,10 +6,13 @@ source: a deterministic MCD starts at the coordinates' medians and spreads, and
 covariance of the share ``h`` of rows with the least distances, all groups at once. Distances are binned on a fixed
 logarithmic grid, so a group's limit is a sum over at most ``BINS`` counts, exact and alike in every run, and no group is
 ever gathered. The inverse covariance is a Cholesky factor in column expressions. Rows beyond ``cut`` robust distance are
-rejected; each coordinate has a least spread.
+rejected; each coordinate has a least spread. A group under ``least_rows`` rows is judged by the estimate over all rows of
+its language, so every row gets a verdict. Where the language has fewer, its spreads are those over all rows, and its place
+is the mean of its rows' medians, counted once for each row, and of the place of all rows, counted once: words are longer in
+one language than in another.
 
-Defined cases: null text has no words; null language or source is a group of its own; groups under ``least_rows`` rows reject
-nothing; repeated rows count each; extra columns are ignored.
+Defined cases: null text has no words; null language or source is a group of its own; repeated rows count each; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,13 +129,29 @@ def _distance(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(len(STATS))), F.lit(0.0))).drop(*used)
 
 
+def _pools(d: DataFrame, least_rows: int) -> DataFrame:
+    """(g, gl, base_failed) rows -> per g: own, the group that judges its rows, and feeds, the groups whose estimates they enter."""
+    sizes = materialize(d.groupBy("g", "gl").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")), "quality-sizes")
+    langs = materialize(sizes.groupBy("gl").agg(F.sum("n").alias("nl"), F.max(F.col("n") < least_rows).alias("small")), "quality-langs")
+    if langs.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        langs = F.broadcast(langs)
+    pooled = langs.where(F.col("nl") < least_rows).limit(1).count() > 0
+    few, lang_few = F.col("n") < least_rows, F.col("nl") < least_rows
+    feeds = F.array_compact(F.array(F.when(~few, F.col("g")), F.when(F.col("small") & ~lang_few, F.col("gl")), F.lit("all" if pooled else None).cast("string")))
+    own = F.when(~few, F.col("g")).when(~lang_few, F.col("gl")).otherwise(F.lit("all"))
+    return materialize(sizes.join(langs, "gl").select("g", own.alias("own"), feeds.alias("feeds")), "quality-pools")
+
+
 def judge(docs: DataFrame, h: float = 0.75, steps: int = 4, cut: float = 12.0, least_rows: int = 30) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, kept, distance (robust)."""
     d = _vector(base_counts(docs, ("lang", "source")))
-    d = d.withColumn("g", F.sha2(F.concat_ws("|", F.coalesce(F.hex(F.col("lang").cast("string")), F.lit("~")), F.coalesce(F.hex(F.col("source").cast("string")), F.lit("~"))), 256)).drop("lang", "source")
+    part = lambda c: F.coalesce(F.hex(F.col(c).cast("string")), F.lit("~"))
+    d = d.withColumns({"g": F.sha2(F.concat_ws("|", part("lang"), part("source")), 256), "gl": F.sha2(part("lang"), 256)}).drop("lang", "source")
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     d = materialize(d, "quality-counts")
-    vectors = d.where("not base_failed").select("g", *STATS)
+    pools = _pools(d, least_rows)
+    vectors = materialize(_with_groups(d.where("not base_failed"), pools.select("g", "feeds")).select(F.explode("feeds").alias("g"), *STATS), "quality-vectors")
+    d = _with_groups(d, pools.select("g", "own")).withColumn("g", F.col("own")).drop("own")
 
     # start: the share h of rows nearest to the coordinates' medians, in units of their spreads
     middle = vectors.groupBy("g").agg(*(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i, x in enumerate(STATS)))
@@ -144,8 +163,14 @@ def judge(docs: DataFrame, h: float = 0.75, steps: int = 4, cut: float = 12.0, l
         moments = materialize(_moments(_with_groups(rows, limits).where(F.col("b") <= F.col("top"))), "quality-moments")
         rows = _distance(_with_groups(vectors, moments), "d").select("g", *STATS, _bin(F.col("d")).alias("b"))
     # consistency: where the median squared distance of a group is above that of 5 normal coordinates, it is the unit
-    scale = materialize(_limits(rows.select("g", "b"), {"half": 0.5}).select("g", "rows", F.greatest(F.exp((F.col("half") + 0.5) / PER_E - 10) / 4.351, F.lit(1.0)).alias("unit")), "quality-scale")
-    measured = _distance(_with_groups(d, moments.join(scale, "g")), "d")
-    measured = measured.withColumn("distance", F.sqrt(F.col("d") / F.col("unit"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", ((F.col("rows") < least_rows) | (F.col("distance") <= cut)).alias("fits"))
+    scale = materialize(_limits(rows.select("g", "b"), {"half": 0.5}).select("g", F.greatest(F.exp((F.col("half") + 0.5) / PER_E - 10) / 4.351, F.lit(1.0)).alias("unit")), "quality-scale")
+    places = d.where("g = 'all' and not base_failed").groupBy("gl").agg(F.count("*").alias("nl"), *(F.percentile_approx(x, 0.5, 2000).alias(f"q{i}") for i, x in enumerate(STATS)))
+    places = materialize(places, "quality-places")
+    if places.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        places = F.broadcast(places)
+    placed = _with_groups(d, moments.join(scale, "g")).join(places, "gl", "left")
+    placed = placed.withColumns({x: F.col(x) - F.coalesce(F.col("nl") / (F.col("nl") + 1) * (F.col(f"q{i}") - F.col(f"m{i}")), F.lit(0.0)) for i, x in enumerate(STATS)})
+    measured = _distance(placed, "d")
+    measured = measured.withColumn("distance", F.sqrt(F.col("d") / F.col("unit"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (F.col("distance") <= cut).alias("fits"))
     lone = d.join(moments.select("g"), "g", "left_anti").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(True).alias("fits"))
     return measured.unionByName(lone).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("fits")).alias("kept"), "distance")

@@ -64,3 +64,17 @@ def test_nothing_but_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, None, None, None), (None, None, None, None)], "doc_id long, text string, lang string, source string")
     assert [(r.base_failed, r.kept) for r in judge(df).collect()] == [(True, False)] * 2
     assert judge(df.limit(0)).count() == 0
+
+
+def test_small_sources_lose_their_outliers(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        words = [rng.choice("abcdefgh") * rng.randint(1, 8) + str(rng.randint(0, 99)) for _ in range(int(60 + rng.expovariate(1 / 150)))]
+        # 20 sources of 10 rows in a common language, and 40 languages of one row each
+        rows.append((i, " ".join(words), *(("en", f"s{i % 20}") if i < 200 else (f"l{i}", "s"))))
+    junk = [(1000 + i, " ".join("%$#|" * 30 + str(k) for k in range(200)), *where) for i, where in enumerate([("en", "s1"), ("en", "s2"), ("en", None), ("l999", "t")])]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert len(got) == len(rows + junk)
+    assert not any(got[r[0]].base_failed or got[r[0]].kept for r in junk)
+    assert all(got[i].kept for i in range(240))
