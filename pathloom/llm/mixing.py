@@ -7,8 +7,8 @@ tokens (long and short documents are moved alike). An iteration is one aggregati
 the steps of all iterations are the whole state, so nothing grows with the documents but their own rows.
 
 The targets' total is chosen so that the anchor domain keeps just the tokens it has. ``copies`` rounds a rate to whole
-documents: rates within ``slack`` of a whole number are that number, others are rounded up with their fraction's probability,
-by a hash of the id.
+documents: up with its fraction's probability, by a hash of the id, so that copies are expected to meet the targets as rates
+do. Only rates within ``slack`` of 1 are taken as 1.
 
 Defined cases: null and empty texts have no tokens, posteriors by the priors, and stay; rows of one id are judged as one
 text and share its rate; without labels every rate is 1; extra columns are kept by ``apply``.
@@ -152,7 +152,7 @@ def rates(p: DataFrame, targets: dict[str, float], anchor: str = "good", most: i
 
 def copies(slack: float = 0.05) -> Column:
     u = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    return F.when(F.abs(F.col("rate") - F.round("rate")) <= slack, F.round("rate")).otherwise(F.floor(F.col("rate") + u)).cast("long")
+    return F.when(F.abs(F.col("rate") - 1) <= slack, F.lit(1.0)).otherwise(F.floor(F.col("rate") + u)).cast("long")
 
 
 #: Shares of the tokens; the anchor's share is the largest of what it has, so its documents stay.

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.llm import mixing
 
@@ -49,3 +50,11 @@ def test_apply_and_edge_cases(spark):
     assert got.count() == 4 and {r.doc_id: r.copies for r in got.collect()}[1] == 1
     assert mixing.mix(odd, labels.limit(0)).where("rate <> 1 or copies <> 1").count() == 0
     assert mixing.mix(odd.limit(0), labels).count() == 0
+
+
+def test_copies_meet_small_rates(spark):
+    p = spark.range(20_000).withColumn("rate", F.element_at(F.array(F.lit(0.03), F.lit(2.03), F.lit(1.02), F.lit(0.0)), (F.col("id") % 4 + 1).cast("int")))
+    got = p.withColumn("copies", mixing.copies()).groupBy("rate").agg(F.avg("copies").alias("mean")).collect()
+    mean = {r.rate: r["mean"] for r in got}
+    assert mean[0.03] == pytest.approx(0.03, abs=0.01) and mean[2.03] == pytest.approx(2.03, abs=0.01)
+    assert mean[1.02] == 1 and mean[0.0] == 0
