@@ -9,8 +9,8 @@ For speed the greedy parse is compiled: in a dense table over a small alphabet,
 goes where the start state would go and marks a new phrase. Documents are parsed in blocks of ``BLOCK`` characters that
 start anew, so thousands of blocks step through the table together and a very long document is no long task.
 
-The training text is a bounded sample: ``train_chars`` characters a language, an equal share from each of ``train_docs``
-labelled documents that a hash of the id chooses, of the ``max_langs`` most frequent languages. All else covers all rows.
+The training text is a bounded sample of every label: ``train_chars`` characters a language, in pieces of ``train_chars /
+train_docs`` characters that a hash of id and place chooses from all its labelled text. All else covers all rows.
 
 Defined cases: null or letterless text is ``und`` with score 0; without any labelled document everything is ``und``;
 repeated rows are each predicted; extra columns are ignored.
@@ -167,27 +167,29 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, train_docs: int = 200, train_chars: int = 40_000, max_langs: int = 64, size: int = 64) -> Model:
+def fit(docs: DataFrame, train_docs: int = 200, train_chars: int = 40_000, size: int = 64) -> Model:
     """Learn from labelled rows outside the held-out fifth (crc32 of the id modulo 5 is 0), within the bounds above."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(id_remainder("doc_id", 5) != 0, F.lit(False))
     )
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
-    langs = list(sizes)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, 1.5 * train_docs / n + 20 / n).otherwise(share)
-    first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    piece = max(1, train_chars // train_docs)
+    rows = rows.withColumn("n", F.ceil(F.length("text") / piece).cast("int")).where("n > 0")
+    totals = rows.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("chars"), F.sum(F.col("n").cast("long")).alias("pieces"))
+    totals = totals.withColumn("share", 1.5 * train_chars / F.col("chars") + 20 / F.col("pieces")).select("lang", "share")
+    langs = [r.lang for r in totals.select("lang").collect()]
+    before = Window.partitionBy("lang").orderBy("h", "doc_id", "i", "text").rowsBetween(Window.unboundedPreceding, -1)
+    places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: in_share(F.xxhash64("doc_id", i), F.col("share")))
     chosen = (
-        rows.where(in_share("doc_id", share))
-        .select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, max(1, train_chars // train_docs)).alias("text"))
-        .withColumn("k", F.row_number().over(first))
-        .where(F.col("k") <= train_docs)
-        .select("lang", "k", "text")
+        rows.join(F.broadcast(totals), "lang")  # one row a language
+        .select("lang", "doc_id", "text", F.explode(places).alias("i"))
+        .select("lang", "doc_id", "i", F.xxhash64("doc_id", "i").alias("h"), F.substring("text", F.col("i") * piece + 1, F.lit(piece)).alias("text"))
+        .withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+        .where(F.col("before") < train_chars)
+        .select("lang", "before", "text")
         .collect()
     )
     samples: dict[str, list[str]] = {lang: [] for lang in langs}
-    for r in sorted(chosen, key=lambda r: (r.lang, r.k)):
+    for r in sorted(chosen, key=lambda r: (r.lang, r.before)):
         samples[r.lang].append(r.text)
     return Model(samples, train_chars, size)
 

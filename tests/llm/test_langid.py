@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -73,3 +74,23 @@ def test_edge_cases(spark):
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (100, 101, 102)) and all(by[i].lang_pred == "en" for i in (103, None, 104, 105, 106))
     none = langid.fit(df.limit(0))
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"} and langid.identify(df.limit(0), none).count() == 0
+
+
+def test_long_documents_and_rare_labels_are_learned(spark):
+    seen = {}
+
+    class Kept(langid.Model):
+        def __init__(self, samples, *_):
+            seen.update(samples)
+
+    rows = [(i, "licence " * 25 + f"word{i} " * 4000, "en") for i in range(5)] + [(10 + k, "brief", f"l{k}") for k in range(300) if (10 + k) % 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    was, langid.Model = langid.Model, Kept
+    try:
+        langid.fit(df)
+    finally:
+        langid.Model = was
+    held = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert set(seen) >= {lang for _, _, lang in rows} - held
+    text = "".join(seen["en"])
+    assert 40_000 <= len(text) < 40_200 and text.count("licence") < 0.1 * text.count("word")
