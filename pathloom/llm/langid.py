@@ -5,8 +5,9 @@ in that text; the fewer phrases a character needs, the better the language expla
 character, phrases x log2(length of the language's text) / characters, and the language with the least bits wins; equal
 languages are decided by name.
 
-For speed the greedy parse is compiled: in a dense table over a small alphabet, a state without the wanted transition
-goes where the start state would go and marks a new phrase. Documents are parsed in blocks of ``BLOCK`` characters that
+Each letter of the samples has a class of its own. For speed the greedy parse is compiled: in a dense table over a small
+alphabet, a state without the wanted transition goes where the start state would go and marks a new phrase. Where the samples
+have more than ``size`` - 2 letters, or there are more than ``DENSE_LANGS`` languages, transitions are sorted keys instead. Documents are parsed in blocks of ``BLOCK`` characters that
 start anew, so thousands of blocks step through the table together and a very long document is no long task.
 
 The training text is a bounded sample of every label: ``train_chars`` characters a language, in pieces of ``train_chars /
@@ -27,47 +28,51 @@ from pyspark.sql import types as T
 from .shared import arrow, id_remainder, in_share, release
 
 BLOCK, BREAK = 512, np.int32(-0x80000000)
+#: Up to so many languages have dense tables (some 15 MB each).
+DENSE_LANGS = 64
 #: Texts parsed at once hold about so many characters.
 PARSE_CHARS = 2_000_000
 
 
-def alphabet(texts: list[str], size: int) -> np.ndarray:
-    """A class of 0..size-1 for each code unit below 65536: 0 for what is no letter, 1 for rare letters."""
-    table = np.zeros(65536, np.uint8)
-    codes = np.frombuffer("".join(texts).lower().encode("utf-16-le", "surrogatepass"), np.uint16)
-    counts = np.bincount(codes, minlength=65536)
-    letters = [i for i in range(65536) if chr(i).isalpha()]
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def alphabet(texts: list[str]) -> np.ndarray:
+    """A class for each code point: 0 for what is no letter, 1 for letters that no text has, and one from 2 on for each other letter."""
+    table = np.zeros(0x110000, np.int32)
+    counts = np.bincount(code_points("".join(texts).lower()), minlength=len(table))
+    letters = [i for i in range(len(table)) if chr(i).isalpha()]
     table[letters] = 1
-    for k, c in enumerate(sorted((c for c in letters if counts[c]), key=lambda c: (-counts[c], c))[: size - 2], 2):
+    for k, c in enumerate(sorted((c for c in letters if counts[c]), key=lambda c: (-counts[c], c)), 2):
         table[c] = k
     for c in letters:  # a capital letter goes with its small one
         low = chr(c).lower()
-        if len(low) == 1 and ord(low) < 65536:
-            table[c] = table[ord(low)]
-    table[0xD800:0xE000] = 1
+        if low != chr(c):
+            table[c] = table[ord(low[0])]
     return table
 
 
 def classes(text: str, table: np.ndarray) -> np.ndarray:
     """Classes of a text's characters; runs of what is no letter count as one."""
-    c = table[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)]
+    c = table[code_points(text)]
     keep = c > 0
     keep[1:] |= c[:-1] > 0
     return c[keep]
 
 
-def suffix_automaton(seq: list[int], size: int) -> np.ndarray:
-    """The automaton of all factors of ``seq`` as a dense table: next state, or 0 where there is none (state 0 starts)."""
+def transitions(seq: list[int]) -> list[dict[int, int]]:
+    """The automaton of all factors of ``seq``: for each state the next state by symbol (state 0 starts)."""
     most = max(2, 2 * len(seq))
-    step = [[0] * size]
+    step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in seq:
         cur = len(step)
-        step.append([0] * size)
+        step.append({})
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p != -1 and not step[p][c]:
+        while p != -1 and c not in step[p]:
             step[p][c] = cur
             p = link[p]
         if p != -1:
@@ -76,16 +81,25 @@ def suffix_automaton(seq: list[int], size: int) -> np.ndarray:
                 link[cur] = q
             else:
                 clone = len(step)
-                step.append(step[q][:])
+                step.append(dict(step[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p != -1 and step[p][c] == q:
+                while p != -1 and step[p].get(c) == q:
                     step[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
     assert len(step) <= most + 1
-    return np.array(step, np.int32)
+    return step
+
+
+def suffix_automaton(seq: list[int], size: int) -> np.ndarray:
+    """The automaton as a dense table: next state, or 0 where there is none."""
+    step = transitions(seq)
+    table = np.zeros((len(step), size), np.int32)
+    for state, after in enumerate(step):
+        table[state, list(after)] = list(after.values())
+    return table
 
 
 def compile_parse(auto: np.ndarray, size: int) -> np.ndarray:
@@ -101,17 +115,41 @@ def compile_parse(auto: np.ndarray, size: int) -> np.ndarray:
     return np.vstack([after, afresh[None, :]]).astype(np.int32).ravel()
 
 
+class Sparse:
+    """The same table as sorted keys, for large alphabets: indexed by state * size + class, it gives the same values.
+
+    Values are 64 bits wide here, with the break in bit 63.
+    """
+
+    def __init__(self, seq: list[int], size: int):
+        step = transitions(seq)
+        alone = len(step) * size
+        found = sorted((state * size + c, to * size) for state, after in enumerate(step) for c, to in after.items())
+        self.size = size
+        self.keys, self.values = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+        self.start = np.full(size, alone, np.int64)
+        self.start[list(step[0])] = [to * size for to in step[0].values()]
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        # a missing transition begins a phrase afresh; the first phrase, at the start state, is counted already
+        afresh = self.start[at % self.size] | np.where(at >= self.size, np.int64(-1 << 63), np.int64(0))
+        return np.where(self.keys[i] == at, self.values[i], afresh)
+
+
 class Model:
     def __init__(self, samples: dict[str, list[str]], train_chars: int = 40_000, size: int = 64):
         self.langs = sorted(samples)
-        self.size = size
-        self.table = alphabet([t for texts in samples.values() for t in texts], size)
-        self.parse: list[np.ndarray] = []
+        self.table = alphabet([t for texts in samples.values() for t in texts])
+        letters = int(self.table.max()) + 1
+        self.dense = letters <= size and len(self.langs) <= DENSE_LANGS
+        self.size = size if self.dense else letters
+        self.parse: list[np.ndarray | Sparse] = []
         self.bits: list[float] = []
         for lang in self.langs:
             pieces = [classes(t, self.table) for t in samples[lang]]
-            seq = np.concatenate([p for p in pieces if len(p)] or [np.zeros(1, np.uint8)])[:train_chars]
-            self.parse.append(compile_parse(suffix_automaton(seq.tolist(), size), size))
+            seq = np.concatenate([p for p in pieces if len(p)] or [np.zeros(1, np.int32)])[:train_chars]
+            self.parse.append(compile_parse(suffix_automaton(seq.tolist(), size), size) if self.dense else Sparse(seq.tolist(), self.size))
             self.bits.append(float(np.log2(len(seq) + 1)))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +169,10 @@ class Model:
         order = np.argsort(-long, kind="stable")
         at, long, owner = at[order], long[order], owner[order]
         active = np.searchsorted(-long, -np.arange(BLOCK), side="left")  # blocks with more than i characters
-        states = [np.zeros(len(at), np.int32) for _ in self.langs]
+        word, sign, mask = (np.int32, 31, 0x7FFFFFFF) if self.dense else (np.int64, 63, (1 << 63) - 1)
+        states = [np.zeros(len(at), word) for _ in self.langs]
         broken = [np.ones(len(at), np.int32) for _ in self.langs]
-        everything = everything.astype(np.int32)
+        everything = everything.astype(word)
         for i in range(int(long[0])):
             n = active[i]
             c = everything[at[:n] + i]
@@ -141,8 +180,8 @@ class Model:
                 s = state[:n]
                 s += c
                 v = table[s]
-                count[:n] -= v >> 31  # -1 where a phrase ended
-                np.bitwise_and(v, 0x7FFFFFFF, out=s)
+                count[:n] -= (v >> sign).astype(np.int32)  # -1 where a phrase ended
+                np.bitwise_and(v, word(mask), out=s)
         for k, count in enumerate(broken):
             counts[:, k] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return counts, sizes

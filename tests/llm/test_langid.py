@@ -94,3 +94,25 @@ def test_long_documents_and_rare_labels_are_learned(spark):
     assert set(seen) >= {lang for _, _, lang in rows} - held
     text = "".join(seen["en"])
     assert 40_000 <= len(text) < 40_200 and text.count("licence") < 0.1 * text.count("word")
+
+
+def test_no_two_letters_are_merged():
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(900)] + [chr(0x20000 + i) for i in range(100)]
+    # words of equal lengths: only the letters tell the languages apart
+    made = lambda k: " ".join("".join(rng.choice(letters[k::2]) for _ in range(3)) for _ in range(400))
+    m = langid.Model({"a": [made(0)], "b": [made(1)]}, 8000)
+    assert len({int(m.table[ord(c)]) for c in letters if m.table[ord(c)] > 1}) == sum(m.table[ord(c)] > 1 for c in letters) > 800
+    assert [x for x, _ in m.predict([made(0), made(1), made(0)])] == ["a", "b", "a"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sparse_equals_dense(seed, monkeypatch):
+    rng = random.Random(seed)
+    samples = {k: [text(rng, k) for _ in range(3)] for k in WORDS}
+    texts = [text(rng, k, n) for k in WORDS for n in (1, 40, 300)] + ["ж", "12"]
+    dense = langid.Model(samples, 3000)
+    monkeypatch.setattr(langid, "DENSE_LANGS", 0)
+    sparse = langid.Model(samples, 3000)
+    assert dense.dense and not sparse.dense
+    assert all(np.array_equal(x, y) for x, y in zip(dense.phrases(texts), sparse.phrases(texts), strict=True))
