@@ -25,33 +25,41 @@ def brute_phrases(seq, sample):
     return n
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_parse_equals_brute_force(seed):
+def parsed(m, texts):
+    counts, sizes = m.phrases(texts)
+    return counts.tolist(), sizes.tolist()
+
+
+@pytest.mark.parametrize("block, portion", [(1, 7), (3, 40), (16, 2_000_000), (512, 2_000_000)])
+@pytest.mark.parametrize("seed", range(4))
+def test_parse_equals_brute_force(seed, block, portion, monkeypatch):
+    """Whatever the blocks, and for texts longer than a portion too: the greedy parse of the whole text."""
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "PARSE_CHARS", portion)
     rng = random.Random(seed)
-    size = 5
-    sample = [rng.randrange(1, size) for _ in range(rng.randint(1, 60))]
-    table = langid.compile_parse(langid.suffix_automaton(sample, size), size)
-    text_of = lambda s: "".join(map(str, s))
-    for _ in range(20):
-        seq = [rng.randrange(size) for _ in range(rng.randint(1, 50))]
-        state, n = 0, 1
-        for c in seq:
-            v = int(table[state + c])
-            n += v < 0
-            state = v & 0x7FFFFFFF
-        assert n == brute_phrases(text_of(seq), text_of(sample))
+    made = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    samples = {"a": [made(40, "ab"), made(9, "abc")], "b": [made(60, "abc ")], "c": [made(rng.randint(1, 5), "c")]}
+    m = langid.Model.of(samples, 8000)
+    joined = {k: "".join("abc "[c - 2] if c else " " for c in np.concatenate([langid.classes(t, m.table) for t in v])) for k, v in samples.items()}
+    texts = [made(n, "abcd") for n in (1, 2, 5, 30, 200, 31)] + [samples["a"][0] * 9, samples["b"][0] * 3, "c" * 90, "ddd", "a"]
+    texts += [t.replace("d", " ") for t in texts]
+    texts = [t for t in texts if t.strip()]
+    norm = ["".join(" " if c == 0 else "abcd"[c - 2] if c > 1 else "d" for c in langid.classes(t, m.table)) for t in texts]
+    counts, sizes = parsed(m, texts)
+    assert sizes == [len(t) for t in norm]
+    assert counts == [[brute_phrases(t, joined[k]) for k in m.langs] for t in norm]
 
 
 def model():
     rng = random.Random(0)
-    return langid.Model({k: [text(rng, k) for _ in range(30)] for k in WORDS}, 8000)
+    return langid.Model.of({k: [text(rng, k) for _ in range(30)] for k in WORDS}, 8000)
 
 
-def test_blocks_are_counted_alike_in_any_batch():
+def test_texts_are_counted_alike_in_any_batch():
     rng, m = random.Random(2), model()
     texts = [text(rng, "de", n) for n in (1, 3, 50, 400)] + ["ü"]
-    one = [m.phrases([t]) for t in texts]
     together = m.phrases(texts)
+    one = [m.phrases([t]) for t in texts]
     assert np.array_equal(np.concatenate([c for c, _ in one]), together[0]) and np.array_equal(np.concatenate([s for _, s in one]), together[1])
 
 
@@ -77,42 +85,39 @@ def test_edge_cases(spark):
 
 
 def test_long_documents_and_rare_labels_are_learned(spark):
-    seen = {}
-
-    class Kept(langid.Model):
-        def __init__(self, samples, *_):
-            seen.update(samples)
-
     rows = [(i, "licence " * 25 + f"word{i} " * 4000, "en") for i in range(5)] + [(10 + k, "brief", f"l{k}") for k in range(300) if (10 + k) % 2]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    was, langid.Model = langid.Model, Kept
-    try:
-        langid.fit(df)
-    finally:
-        langid.Model = was
+    seen = langid.samples(df, 200, 40_000).collect()
     held = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0}
-    assert set(seen) >= {lang for _, _, lang in rows} - held
-    text = "".join(seen["en"])
+    assert {r.lang for r in seen} >= {lang for _, _, lang in rows} - held
+    text = "".join(r.text for r in sorted(seen, key=lambda r: r.before) if r.lang == "en")
     assert 40_000 <= len(text) < 40_200 and text.count("licence") < 0.1 * text.count("word")
 
 
+def test_groups_of_languages_give_what_one_group_gives(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, text(rng, k), k) for i, k in enumerate(rng.choice(list(WORDS)) for _ in range(60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, train_docs=40, train_chars=4000)
+    one = sorted(langid.identify(df, model).collect())
+    monkeypatch.setattr(langid, "GROUP_LANGS", 1)
+    assert sorted(langid.identify(df, model).collect()) == one and len({r.lang_pred for r in one}) == 3
+
+
 def test_no_two_letters_are_merged():
     rng = random.Random(4)
     letters = [chr(0x4E00 + i) for i in range(900)] + [chr(0x20000 + i) for i in range(100)]
     # words of equal lengths: only the letters tell the languages apart
     made = lambda k: " ".join("".join(rng.choice(letters[k::2]) for _ in range(3)) for _ in range(400))
-    m = langid.Model({"a": [made(0)], "b": [made(1)]}, 8000)
+    m = langid.Model.of({"a": [made(0)], "b": [made(1)]}, 8000)
     assert len({int(m.table[ord(c)]) for c in letters if m.table[ord(c)] > 1}) == sum(m.table[ord(c)] > 1 for c in letters) > 800
-    assert [x for x, _ in m.predict([made(0), made(1), made(0)])] == ["a", "b", "a"]
+    assert [m.langs[k] for k in m.bits_per_character([made(0), made(1), made(0)]).argmin(axis=1)] == ["a", "b", "a"]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_sparse_equals_dense(seed, monkeypatch):
-    rng = random.Random(seed)
-    samples = {k: [text(rng, k) for _ in range(3)] for k in WORDS}
-    texts = [text(rng, k, n) for k in WORDS for n in (1, 40, 300)] + ["ж", "12"]
-    dense = langid.Model(samples, 3000)
-    monkeypatch.setattr(langid, "DENSE_LANGS", 0)
-    sparse = langid.Model(samples, 3000)
-    assert dense.dense and not sparse.dense
-    assert all(np.array_equal(x, y) for x, y in zip(dense.phrases(texts), sparse.phrases(texts), strict=True))
+def test_clashing_names_are_kept(spark):
+    rows = [(i, "the of and wh", "en", -7.5, "p", True, 3, "q") for i in range(6)] + [(9, None, "en", -7.5, "p", False, 4, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, held_out boolean, c0 int, bits string")
+    out, new = langid.label(df, langid.fit(df))
+    assert out.columns == [*df.columns, new] and new not in df.columns
+    assert sorted(out.select(*df.columns).collect()) == sorted(df.collect()) and out.where(f"{new} = 'und'").count() == 1
+    assert langid.identify(df, langid.fit(df)).columns == ["doc_id", "held_out", "lang_pred", "score"]
