@@ -11,8 +11,8 @@ from pathloom.llm.shared import materialize, table, tokenizer_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no language (null, or without a letter) go; a missing language is filled in, a given one stays."""
-    known = langid.identify(docs, langid.fit(docs), keep=docs.columns)
-    return known.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    known, guess = langid.label(docs, langid.fit(docs))
+    return known.where(F.col(guess) != "und").withColumn("lang", F.coalesce("lang", guess)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
