@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, temporary
 
 
 def _star(near: DataFrame, kept: DataFrame) -> DataFrame:
@@ -20,11 +20,17 @@ def _star(near: DataFrame, kept: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) pairs of longs -> (node, component): the least node reachable. Nodes without an edge to another are left out."""
+    with temporary(edges.sparkSession):
+        return _components(edges)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         stamp = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if stamp == before:
+            now = materialize(now, "components", keep=True)
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = stamp
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

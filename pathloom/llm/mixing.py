@@ -1,29 +1,32 @@
 """Mixing sources to target weights with soft membership, in DataFrame functions only.
 
-Domains come from a labelled table. A multinomial classifier over hashed words and word shapes, trained on a bounded sample
-of it, gives every document its posteriors p_k. Rates r >= 0 are then fitted to all documents so that each domain's expected
+Domains come from a labelled table. A multinomial classifier over hashed words, beginnings of words and word shapes, trained on a bounded
+sample of it, gives every document its posteriors p_k. Rates r >= 0 are then fitted to all documents so that each domain's expected
 tokens, the sum of r x tokens x p_k, match its target: least squares by projected gradient, from r = 1, in the metric of the
 tokens (long and short documents are moved alike). An iteration is one aggregation to a few numbers for each pair of domains;
 the steps of all iterations are the whole state, so nothing grows with the documents but their own rows.
 
 The targets' total is chosen so that the anchor domain keeps just the tokens it has. ``copies`` rounds a rate to whole
 documents: up with its fraction's probability, by a hash of the id, so that copies are expected to meet the targets as rates
-do. Only rates within ``slack`` of 1 are taken as 1.
+do, whatever the rate. Targets that no rates meet (of a domain without tokens, say) give a warning with what was reached.
 
 Defined cases: null and empty texts have no tokens, posteriors by the priors, and stay; rows of one id are judged as one
-text and share its rate; without labels every rate is 1; extra columns are kept by ``apply``.
+text and share its rate; documents of equal posteriors have equal rates; without labels every rate is 1; extra columns,
+whatever their names, are kept by ``apply``.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_share, materialize, text_or_empty
+from .shared import fresh, in_share, materialize, text_or_empty
 
-BUCKETS, SHAPES = 8192, 1024
+BUCKETS, SHAPES = 8192, 1024  # of words and of beginnings each
+SIZE = 2 * BUCKETS + SHAPES
 DOMAINS = ("good", "low", "toxic")
 #: Up to so many documents whose number of copies isn't 1 (16 bytes each) are broadcast; beyond, they are joined by shuffle.
 FEW = 100_000
@@ -38,16 +41,14 @@ def label_domain() -> Column:
 def _words(docs: DataFrame) -> DataFrame:
     """(id, word, n) with n = 0 for the empty word that keeps an empty text."""
     d = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(docs["text"]).alias("t"))
-    return d.select("id", F.explode(F.split("t", "[ \n]")).alias("w"))
+    return d.select("id", F.explode(F.split("t", r"[\x20\x09-\x0D]")).alias("w"))
 
 
-def _word(w: Column) -> Column:
-    """The word's beginning: endings vary, beginnings tell."""
-    return F.pmod(F.xxhash64(F.left(F.lower(w), F.lit(4))), F.lit(BUCKETS)).cast("int")
-
-
-def _shape(w: Column) -> Column:
-    return F.pmod(F.hash(F.ascii(w), F.ascii(F.right(w, F.lit(1)))), F.lit(SHAPES)).cast("int") + BUCKETS
+def _features(w: Column) -> tuple[Column, ...]:
+    """The whole word, its beginning (endings vary), and its first and last characters as they are written."""
+    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
+    shape = F.pmod(F.hash(F.ascii(w), F.ascii(F.right(w, F.lit(1)))), F.lit(SHAPES)).cast("int")
+    return bucket(F.lower(w)), bucket(F.left(F.lower(w), F.lit(4))) + BUCKETS, shape + 2 * BUCKETS
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, smooth: float = 0.5) -> tuple[list[list[float]], list[float]] | None:
@@ -63,9 +64,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, smooth: f
     one_each = texts.groupBy(F.xxhash64("text")).agg(F.min("doc_id").alias("id")).select("id").distinct()  # copies count once
     chosen = materialize(chosen.join(F.broadcast(one_each), "id", "left_semi"), "labelled-sample")
     words = _words(texts).where("w <> ''").join(F.broadcast(chosen), "id")
-    both = words.select("id", "domain", F.explode(F.array(_word(F.col("w")), _shape(F.col("w")))).alias("f"))
+    both = words.select("id", "domain", F.explode(F.array(*_features(F.col("w")))).alias("f"))
     per = both.groupBy("id", "domain", "f").agg(F.count("*").alias("n"))
-    size, domains = BUCKETS + SHAPES, len(DOMAINS)
+    size, domains = SIZE, len(DOMAINS)
     c, docs_with = [[0.0] * size for _ in range(domains)], [[0.0] * size for _ in range(domains)]
     for r in per.groupBy("domain", "f").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect():  # size x domains rows at most
         c[r.domain][r.f] += r.n
@@ -87,13 +88,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, smooth: f
     return weights, [math.log((shares.get(k, 0) + smooth) / (labelled + smooth * domains)) for k in range(domains)]
 
 
-def posteriors(docs: DataFrame, model: tuple[list[list[float]], list[float]], heat: float = 0.5) -> DataFrame:
+def posteriors(docs: DataFrame, model: tuple[list[list[float]], list[float]], heat: float = 0.4) -> DataFrame:
     """Per id: id, n_tokens, p0.. (``heat`` softens the evidence, as neighbouring features are no independent witnesses)."""
     weights, priors = model
     w = F.col("w")
-    rows = _words(docs).select("id", (w != "").cast("int").alias("n"), _word(w).alias("f"), _shape(w).alias("s"))
+    rows = _words(docs).select("id", (w != "").cast("int").alias("n"), *(f.alias(f"f{i}") for i, f in enumerate(_features(w))))
     tables = [F.split(F.lit(",".join(f"{x:.5f}" for x in row)), ",").cast("array<double>") for row in weights]
-    some = rows.groupBy("id").agg(F.sum("n").cast("long").alias("n_tokens"), *(F.sum(F.when(F.col("n") == 1, F.get(t, F.col("f")) + F.get(t, F.col("s"))).otherwise(0.0)).alias(f"z{k}") for k, t in enumerate(tables)))
+    some = rows.groupBy("id").agg(F.sum("n").cast("long").alias("n_tokens"), *(F.sum(F.when(F.col("n") == 1, sum((F.get(t, F.col(f"f{i}")) for i in (1, 2)), F.get(t, F.col("f0")))).otherwise(0.0)).alias(f"z{k}") for k, t in enumerate(tables)))
     z = [F.col(f"z{k}") * heat + priors[k] for k in range(len(weights))]
     top = F.greatest(*z)
     e = [F.exp(x - top) for x in z]
@@ -147,12 +148,14 @@ def rates(p: DataFrame, targets: dict[str, float], anchor: str = "good", most: i
             break
         ridge = 1e-9 * (1.0 + sum(g[i][i] for i in ks))
         steps.append(_solve([[g[i][j] + ridge * (i == j) for j in ks] for i in ks], [h - w for h, w in zip(have, wanted, strict=True)]))
+    else:
+        warnings.warn(f"no rates found that meet the targets: tokens {have} for {wanted}", RuntimeWarning, stacklevel=2)
     return p.withColumn("rate", rate())
 
 
-def copies(slack: float = 0.05) -> Column:
+def copies() -> Column:
     u = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    return F.when(F.abs(F.col("rate") - 1) <= slack, F.lit(1.0)).otherwise(F.floor(F.col("rate") + u)).cast("long")
+    return F.floor(F.col("rate") + u).cast("long")
 
 
 #: Shares of the tokens; the anchor's share is the largest of what it has, so its documents stay.
@@ -173,9 +176,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """Docs, each as often as its rate says, with the same columns."""
-    odd = materialize(mixed.where("copies <> 1").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "copies"), "copies")
+    key, n = fresh(docs, "key"), fresh(docs, "n")
+    odd = materialize(mixed.where("copies <> 1").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.col("copies").alias(n)), "copies")
     if odd.limit(FEW + 1).count() <= FEW:
         odd = F.broadcast(odd)
-    rows = docs.withColumn("_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))).join(odd.withColumnRenamed("copies", "_copies"), "_id", "left")
-    rows = rows.withColumn("_copies", F.coalesce("_copies", F.lit(1))).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*docs.columns)
+    columns = docs.columns
+    rows = docs.withColumn(key, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))).join(odd, key, "left")
+    rows = rows.withColumn(n, F.coalesce(n, F.lit(1).cast("long"))).where(F.col(n) > 0)
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long")))).select(*(F.col(f"`{c}`") for c in columns))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow, materialize, release
+from .shared import arrow, fresh, materialize, release, temporary
 
 WORDS, BANDS, ROWS = 5, 32, 4
 MEMO_WORDS = 250_000
@@ -130,7 +130,11 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar. texts: (id, text) of all their nodes."""
+    """The pairs (u, v) whose full sets are similar. texts: (id, text) of all their nodes; repeated ids may repeat pairs.
+
+    No aggregation follows the joins in their stage, which would bind it to the key v: so adaptive execution may split the
+    rows of a leader that a third of all pairs has.
+    """
     one = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
     two = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
     rows = pairs.join(one, "u").join(two, "v").select("u", "v", "tu", "tv")
@@ -149,7 +153,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([us.filter(mask), vs.filter(mask)], names=["u", "v"])
         _end_task()
 
-    return arrow(rows, run, "u long, v long").distinct()
+    return arrow(rows, run, "u long, v long")
 
 
 def _agree(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -159,7 +163,7 @@ def _agree(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     rows = pairs.join(one, "u").join(two, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
     place = F.sequence(F.lit(1), F.lit(BANDS * ROWS))
     same = F.size(F.filter(place, lambda i: F.substring("su", i, F.lit(1)) == F.substring("sv", i, F.lit(1))))
-    return rows.where(same >= AGREE).select("u", "v").distinct()
+    return rows.where(same >= AGREE).select("u", "v")
 
 
 def _proven(pairs: DataFrame, marks: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
@@ -217,7 +221,12 @@ def _by_prefix(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least id reachable by links), kept (the row is its component's least)."""
-    fp = materialize(fingerprints(docs), "fingerprints")
+    with temporary(docs.sparkSession):
+        return _near_duplicates(docs, percent)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    fp = materialize(fingerprints(docs), "fingerprints", keep=True)
     real = fp.where("h is not null and doc_id is not null")
     classes = materialize(real.groupBy("h").agg(F.min("doc_id").alias("id")), "classes")
     mine = real.select(F.col("h").alias("h2"), "doc_id", "n_shingles", "keys", "sig")
@@ -246,7 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         more = _proven(_by_prefix(rows, texts, percent), marks, texts, percent, "third")
         label = materialize(components(links.unionByName(more)), "components")
 
-    final = materialize(classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("h", F.coalesce("component", "id").alias("component_id")), "class-components")
+    final = materialize(classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("h", F.coalesce("component", "id").alias("component_id")), "class-components", keep=True)
     linked = real.select("doc_id", "n_shingles", "h").join(final, "h").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     alone = fp.where("h is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)
@@ -266,12 +275,14 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def _one_each(docs: DataFrame) -> DataFrame:
     """Drops repeated rows of one id. Ids that repeat are found by a count over the ids alone, so other rows aren't shuffled."""
-    twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.xxhash64(*docs.columns)).alias("_h")).where("_n > 1").select("doc_id", "_h"), "repeated-ids")
+    h, n = fresh(docs, "h"), fresh(docs, "n")
+    everything = F.xxhash64(*(docs[c] for c in docs.columns))
+    twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(n), F.min(everything).alias(h)).where(F.col(n) > 1).select("doc_id", h), "repeated-ids")
     if twice.isEmpty():
         return docs
     if twice.limit(FEW_IDS + 1).count() <= FEW_IDS:
         twice = F.broadcast(twice)
     rows = docs.join(twice, "doc_id", "left")
-    single = rows.where("_h is null").drop("_h")
-    least = rows.where("_h is not null").where(F.xxhash64(*docs.columns) == F.col("_h")).drop("_h")
+    single = rows.where(F.col(h).isNull()).drop(h)
+    least = rows.where(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)) == F.col(h)).drop(h)
     return single.unionByName(least.dropDuplicates(["doc_id"]))

@@ -2,17 +2,19 @@
 
 The base counts of a text need no shuffle. The statistic vector (log of the words, mean word length, and the rates of
 symbols, repeated lines and repeated words, each transformed to be less skewed) is judged within the document's language and
-source: a deterministic MCD starts at the coordinates' medians and spreads, and each concentration step takes mean and
-covariance of the share ``h`` of rows with the least distances, all groups at once. Distances are binned on a fixed
-logarithmic grid, so a group's limit is a sum over at most ``BINS`` counts, exact and alike in every run, and no group is
-ever gathered. The inverse covariance is a Cholesky factor in column expressions. Rows beyond ``cut`` robust distance are
-rejected; each coordinate has a least spread. A group under ``least_rows`` rows is judged by the estimate over all rows of
+source by a deterministic MCD. It has three starts: the share ``h`` of rows nearest to the coordinates' medians by the sum of
+squares in units of their spreads, the same by the largest of them, and the share nearest by the classical estimate over all
+rows. Each concentration step takes mean and covariance of the share ``h`` of rows with the least distances, all groups and
+starts at once, and of a group's starts the one whose covariance has the least determinant stands. Distances are binned on a
+fixed logarithmic grid, so a group's limit is a sum over at most ``BINS`` counts, exact and alike in every run, and no group
+is ever gathered. The inverse covariance is a Cholesky factor in column expressions. Distances are made consistent by the
+median of the squared ones. Rows beyond ``cut`` robust distance are rejected; each coordinate has a least spread. A group under ``least_rows`` rows is judged by the estimate over all rows of
 its language, so every row gets a verdict. Where the language has fewer, its spreads are those over all rows, and its place
 is the mean of its rows' medians, counted once for each row, and of the place of all rows, counted once: words are longer in
 one language than in another.
 
-Defined cases: null text has no words; null language or source is a group of its own; repeated rows count each; extra
-columns are ignored.
+Defined cases: null text has no words; null language or source is a group of its own; repeated rows count each; rows at equal
+distances are taken or left together; of starts with equal determinants the first stands; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,8 +80,8 @@ def _vector(d: DataFrame) -> DataFrame:
     )
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+def _with_groups(rows: DataFrame, groups: DataFrame, starts: int = 1) -> DataFrame:
+    if groups.limit(starts * FEW_GROUPS + 1).count() <= starts * FEW_GROUPS:
         groups = F.broadcast(groups)
     return rows.join(groups, "g")
 
@@ -102,7 +104,8 @@ def _limits(binned: DataFrame, shares: dict[str, float]) -> DataFrame:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each group's covariance (with a ridge), as m0.. and l00.. columns."""
+    """Mean and Cholesky factor of each group's covariance (with the least spreads), as m0.. and l00.. columns, and the log
+    of its determinant."""
     p = len(STATS)
     sums = rows.groupBy("g").agg(F.count("*").alias("c"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)), *(F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)))
     d = sums
@@ -114,7 +117,8 @@ def _moments(rows: DataFrame) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"l{j}{j}"))
-    return d.select("g", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+    log_det = 2 * sum((F.ln(f"l{i}{i}") for i in range(p)), F.lit(0.0))
+    return d.select("g", log_det.alias("log_det"), *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
 
 
 def _distance(rows: DataFrame, name: str) -> DataFrame:
@@ -126,7 +130,7 @@ def _distance(rows: DataFrame, name: str) -> DataFrame:
             y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
         rows = rows.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
         used += [f"m{i}", f"y{i}", *(f"l{i}{j}" for j in range(i + 1))]
-    return rows.withColumn(name, sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(len(STATS))), F.lit(0.0))).drop(*used)
+    return rows.withColumn(name, sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(len(STATS))), F.lit(0.0))).drop("log_det", *used)
 
 
 def _pools(d: DataFrame, least_rows: int) -> DataFrame:
@@ -153,15 +157,24 @@ def judge(docs: DataFrame, h: float = 0.75, steps: int = 4, cut: float = 12.0, l
     vectors = materialize(_with_groups(d.where("not base_failed"), pools.select("g", "feeds")).select(F.explode("feeds").alias("g"), *STATS), "quality-vectors")
     d = _with_groups(d, pools.select("g", "own")).withColumn("g", F.col("own")).drop("own")
 
-    # start: the share h of rows nearest to the coordinates' medians, in units of their spreads
+    # starts; a start of a group is a group of its own, named group#start, until the best is chosen
     middle = vectors.groupBy("g").agg(*(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i, x in enumerate(STATS)))
     middle = materialize(middle, "quality-middle")
     z = lambda i, x: F.pow((F.col(x) - F.get(f"q{i}", F.lit(1))) / F.greatest(F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0)), F.lit(SPREADS[x])), 2)
-    rows = _with_groups(vectors, middle).withColumn("d", sum((z(i, x) for i, x in enumerate(STATS)), F.lit(0.0))).select("g", *STATS, _bin(F.col("d")).alias("b"))
+    classical = materialize(_moments(vectors), "quality-classical").withColumnRenamed("g", "gc")
+    near = _with_groups(vectors, middle).withColumn("gc", F.col("g"))
+    near = near.join(F.broadcast(classical) if classical.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else classical, "gc")
+    each = [z(i, x) for i, x in enumerate(STATS)]
+    near = _distance(near.withColumns({"d0": sum(each, F.lit(0.0)), "d1": F.greatest(*each)}), "d2")
+    rows = near.select("g", *STATS, F.posexplode(F.array("d0", "d1", "d2")).alias("start", "d")).select(F.concat_ws("#", "g", "start").alias("g"), *STATS, _bin(F.col("d")).alias("b"))
+    started = vectors.withColumn("g", F.explode(F.array(*(F.concat("g", F.lit(f"#{k}")) for k in range(3)))))
     for _ in range(steps):  # concentration
         limits = materialize(_limits(rows.select("g", "b"), {"top": h}).select("g", "top"), "quality-limits")
-        moments = materialize(_moments(_with_groups(rows, limits).where(F.col("b") <= F.col("top"))), "quality-moments")
-        rows = _distance(_with_groups(vectors, moments), "d").select("g", *STATS, _bin(F.col("d")).alias("b"))
+        moments = materialize(_moments(_with_groups(rows, limits, 3).where(F.col("b") <= F.col("top"))), "quality-moments")
+        rows = _distance(_with_groups(started, moments, 3), "d").select("g", *STATS, _bin(F.col("d")).alias("b"))
+    best = moments.select(F.split("g", "#")[0].alias("group"), "g", "log_det").groupBy("group").agg(F.min(F.struct("log_det", "g"))["g"].alias("g"))
+    moments = materialize(moments.join(best, "g").drop("g").withColumnRenamed("group", "g"), "quality-best")
+    rows = _distance(_with_groups(vectors, moments), "d").select("g", *STATS, _bin(F.col("d")).alias("b"))
     # consistency: where the median squared distance of a group is above that of 5 normal coordinates, it is the unit
     scale = materialize(_limits(rows.select("g", "b"), {"half": 0.5}).select("g", F.greatest(F.exp((F.col("half") + 0.5) / PER_E - 10) / 4.351, F.lit(1.0)).alias("unit")), "quality-scale")
     places = d.where("g = 'all' and not base_failed").groupBy("gl").agg(F.count("*").alias("nl"), *(F.percentile_approx(x, 0.5, 2000).alias(f"q{i}") for i, x in enumerate(STATS)))

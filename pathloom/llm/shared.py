@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +22,37 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage ends there and lost executors cost nothing."""
+#: Tables that were made in each ``temporary`` block now open.
+_MADE: list[list[str]] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: lineage ends there and lost executors cost nothing.
+
+    The innermost ``temporary`` block deletes it at its end; with ``keep``, the one around that does.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pathloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if len(_MADE) > keep:
+        _MADE[-1 - keep].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` makes inside are deleted at the end, but for those it is told to keep."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for made in _MADE.pop():
+            at = path(made)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def fresh(docs: DataFrame, stem: str) -> str:
     """A column name that ``docs`` doesn't have (names differ by more than case)."""
     known = {c.lower() for c in docs.columns}

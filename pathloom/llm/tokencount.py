@@ -5,7 +5,9 @@ token is the only vocabulary suffix which forms a valid pair with the last token
 stores the exact token count at *every* prefix; truncation and budget questions are lookups in that table.
 
 No vocabulary piece joins a word to a following space, and none has a line end, so the table of a text is built from the
-tables of its units (a run of spaces with the word after it, or a line end). Unit tables are kept in a bounded memo.
+tables of its units (a run of spaces with the word after it, or a line end). Unit tables are kept in a bounded memo. Pieces of
+several spaces have equal scores, so no order and no unique last token; their counts repeat with the longest of them, which is
+tabulated once and extended. The last space of a run goes with the word where a piece begins with both.
 
 Defined cases: null text counts as empty (0 tokens); U+2581 in a text is the model's own sign for a space and counts as
 one; repeated rows are counted each; extra columns are ignored.
@@ -62,6 +64,14 @@ class PrefixTable:
             if len(p) > 2:
                 self.lengths.setdefault(p[-3:], set()).add(len(p))
         self.lengths = {k: sorted(v, reverse=True) + [2, 1] for k, v in self.lengths.items()}
+        self.blanks = [0, 1]  # counts of runs of spaces; from ``repeat`` spaces on with one more for each ``period``
+        self.period = max((len(p) for p in self.score if not p.strip(SPACE)), default=1)
+        if any(p.startswith(SPACE * 2) and p.strip(SPACE) for p in self.score):
+            raise ValueError("a piece joins several spaces to a word")
+        self.repeat = 3 * self.period
+        self.blanks += [len(m.encode(SPACE * (n - 1))) for n in range(2, self.repeat + 2 * self.period + 1)]
+        if any(self.blanks[n] != self.blanks[n - self.period] + 1 for n in range(self.repeat - self.period, len(self.blanks))):
+            raise ValueError("runs of spaces don't repeat")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.counts = _Counts(self)
 
@@ -87,11 +97,27 @@ class PrefixTable:
             v = self.pairs[a, b] = self._merge(a + b) == ([a, b] if a else [b])
         return v
 
+    def spaces(self, n: int) -> int:
+        """Tokens of a run of so many spaces."""
+        if n < self.repeat:
+            return self.blanks[n]
+        more = (n - self.repeat) // self.period
+        return self.blanks[n - more * self.period] + more
+
     def unit(self, unit: str) -> list[int]:
         """Token counts at the prefixes 0..len(unit) of one unit."""
-        if unit.startswith(SPACE * 2):  # the pieces of many spaces have equal scores: no order, so no unique last token
-            return [0] + [len(self.model.encode(unit[1:i])) if i > 1 else 1 for i in range(1, len(unit) + 1)]
-        score, pairs, lengths, last, count = self.score, self.pairs, self.lengths, [""], [0]
+        run = len(unit) - len(unit.lstrip(SPACE))
+        if run < 2:
+            return self._word(unit)[0]
+        out = list(map(self.spaces, range(run + 1)))
+        if run < len(unit):
+            count, alone = self._word(unit[run - 1 :])
+            out += [out[run] + c - 1 if own else out[run - 1] + c for c, own in zip(count[2:], alone[2:], strict=True)]
+        return out
+
+    def _word(self, unit: str) -> tuple[list[int], list[bool]]:
+        """The same of a unit with one space at most, and whether its first character is a token of its own."""
+        score, pairs, lengths, last, count, alone = self.score, self.pairs, self.lengths, [""], [0], [False]
         for i in range(1, len(unit) + 1):
             for n in lengths.get(unit[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
                 if n > i:
@@ -106,10 +132,11 @@ class PrefixTable:
                 if ok:
                     last.append(piece)
                     count.append(count[i - n] + (1 if piece in score else len(piece.encode())))
+                    alone.append(n == 1 if i == n else alone[i - n])
                     break
             else:
                 raise AssertionError(f"no last token for {unit[:i]!r}")
-        return count
+        return count, alone
 
     def units(self, text: str) -> list[str]:
         return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []

@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-The features of a block of ``BLOCK`` words are the character n-grams of its distinct lower-case words, each with a mark at
+The features of a block of ``BLOCK`` words (the next block begins in its middle) are the character n-grams of its distinct lower-case words, each with a mark at
 both ends. The value of an n-gram is the number of distinct words that hold it, times its log-count ratio between the
 classes; logistic regression over these values gives the block's score, and the highest block decides, so a toxic passage
-is not diluted by a long text. As values add up over words, a word's share is computed once and kept in a bounded memo.
+is not diluted by a long text, wherever it stands. As values add up over words, a word's share is computed once and kept in a bounded memo.
 
 Labels are a bounded sample: at most ``per_class`` toxic and ``per_class`` x ``clean_each`` other labelled rows outside the held-out third (crc32 of the id
 modulo 3 is 1), chosen by a hash of the id. Scoring covers every whole text. The only inputs of a score are the text's words.
@@ -69,11 +69,19 @@ class Model:
         return float(self.weights[ngrams(word, self.low, self.high, len(self.weights))].sum()) if word else 0.0
 
     def score(self, text: str) -> float:
-        """The highest of the scores of a text's blocks of ``BLOCK`` words: a passage counts wherever it stands."""
-        words, get = text.lower().split(), self.memo.__getitem__
-        total = max(fsum(map(get, set(words[i : i + BLOCK]))) for i in range(0, max(1, len(words)), BLOCK)) + self.bias
+        """The highest of the scores of a text's blocks of ``BLOCK`` words."""
+        total = max(self.blocks(text.lower().split())) + self.bias
         return 1 / (1 + exp(-min(40.0, max(-40.0, total))))
 
+    def blocks(self, words: list[str]) -> list[float]:
+        """Sums over the distinct words of each block: of its two halves, less what both have."""
+        get = self.memo.__getitem__
+        if len(words) <= BLOCK:
+            return [fsum(map(get, set(words)))]
+        halves = [set(words[i : i + BLOCK // 2]) for i in range(0, len(words), BLOCK // 2)]
+        sums = [fsum(map(get, h)) for h in halves]
+        return [a + b - fsum(map(get, x & y)) for a, b, x, y in zip(sums, sums[1:], halves, halves[1:], strict=False)]
+
 
 def train(rows: list[tuple[str, int]], low: int = 2, high: int = 5, buckets: int = 1 << 18, smooth: float = 1.0, l2: float = 1e-4, rounds: int = 80) -> Model:
     """Naive Bayes ratios, then logistic regression (full-batch Adam) over the scaled features."""
@@ -136,13 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 600, clean_each: in
     chosen = {r.doc_id: r.toxic for r in known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.when(F.col("toxic") == 1, most[1]).otherwise(most[0])).collect()}
     if not chosen:
         return train([], **how)
-    texts = docs.select(docs["doc_id"].alias("doc_id"), text_or_empty(docs["text"]).alias("text"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs["text"]).alias("text"))
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")  # per_class * (1 + clean_each) ids at most
-    got = texts.join(F.broadcast(ids), "doc_id", "left_semi").collect()
-    first: dict[int, str] = {}
-    for r in got:
-        first[r.doc_id] = min(first.get(r.doc_id, r.text), r.text)
-    return train([(first[i], chosen[i]) for i in sorted(first)], **how)
+    got = texts.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # an id's rows are one
+    return train([(r.text, chosen[r.doc_id]) for r in sorted(got, key=lambda r: r.doc_id)], **how)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

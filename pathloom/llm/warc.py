@@ -3,7 +3,8 @@
 An archive is a table of rows (archive, record, chunk, data, ...): the concatenation of ``data`` in that order is a WARC/1.1
 file. The first chunk of a record is its header, further ones hold at most ``CHUNK`` bytes of the block, so no step allocates
 a record as a whole beyond the row that it came from. Each row also carries the digest of the payload so far. Reading is a
-parser that gets chunks one after another in sorted partitions and keeps one record's header and digest state only.
+parser that gets chunks one after another in sorted partitions and keeps one record's header and digest state only; each
+chunk's digest is checked as the chunk arrives, so a broken chunk names itself.
 
 Of records with equal payloads, the one with the largest page id is a response, the others are revisits without payload.
 
@@ -62,7 +63,7 @@ def write(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     equal = materialize(equal, "equal-payloads")
     if equal.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
         equal = F.broadcast(equal)
-    rows = rows.join(equal, "sha", "left").select("page_id", "url", "payload", "response")
+    rows = rows.join(equal, "sha", "left").select("page_id", "url", "payload", "response", F.unhex("sha").alias("sha"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -71,11 +72,11 @@ def write(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         out: list[tuple] = []
         held = 0
         for b in batches:
-            for page_id, url, payload, response in zip(*(c for c in b.columns), strict=True):
+            for page_id, url, payload, response, whole in zip(*(c for c in b.columns), strict=True):
                 payload, page_id, response = payload.as_buffer(), page_id.as_py(), response.as_py()
                 record += 1
                 view = memoryview(payload)
-                digest = _b32(hashlib.sha1(view).digest())
+                digest = _b32(whole.as_py())
                 revisit = response is not None and response != page_id
                 out.append((archive, (archive << 40) + record, 0, _header(page_id, url.as_py(), digest, len(view), response, revisit), None))
                 sha, body = hashlib.sha1(), b"" if revisit else view
@@ -108,6 +109,11 @@ class Parser:
     def __init__(self):
         self.head, self.fields, self.http, self.left, self.sha, self.size, self.tail = b"", None, None, 0, hashlib.sha1(), 0, b""
 
+    def check(self, chunk: int, so_far: str | None) -> None:
+        """Holds the payload read so far against the chunk's own digest."""
+        if so_far is not None and so_far != _b32(self.sha.copy().digest()):
+            raise ValueError(f"record {self.fields and self.fields['warc-record-id']}: chunk {chunk} has another digest")
+
     def feed(self, data: bytes) -> None:
         if self.fields is None:
             self.head += data
@@ -149,17 +155,18 @@ class Parser:
 def read(chunks: DataFrame) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    rows = chunks.select("record", "chunk", "data").repartition("record").sortWithinPartitions("record", "chunk")
+    rows = chunks.select("record", "chunk", "data", "payload_so_far").repartition("record").sortWithinPartitions("record", "chunk")
 
     def run(batches):
         record, parser, done = None, None, []
         for b in batches:
-            for r, data in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+            for r, chunk, data, so_far in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 if r != record:
                     if parser:
                         done.append(parser.close())
                     record, parser = r, Parser()
                 parser.feed(bytes(data.as_buffer()))
+                parser.check(chunk, so_far)
             yield pa.RecordBatch.from_pylist(done, schema=schema)
             done = []
         if parser:

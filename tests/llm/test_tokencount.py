@@ -1,3 +1,5 @@
+import time
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -39,3 +41,14 @@ def test_rows(spark):
 
 def test_empty_table(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
+
+
+def test_long_runs_of_spaces():
+    for n in [*range(1, 70), 127, 128, 129, 1000, 1003]:
+        for word in ("", "a", "hello there", "é", "日本", "🙂", "!x", "▁", "1"):
+            text = " " * n + word
+            assert T.count(text) == len(T.model.encode(text)), (n, word)
+    text = "a" + " " * 70 + "hello🙂" + " " * 40
+    assert T.prefix_counts(text).tolist() == [len(T.model.encode(text[:i])) for i in range(len(text) + 1)]
+    began = time.time()
+    assert T.count(" " * 100_000 + "x") == 6250 + 1 and T.fit(" " * 100_000, 100) > 1500 and time.time() - began < 5

@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from pathloom.llm import warc
 
 
@@ -46,3 +48,14 @@ def test_parser_in_any_portions():
         for at in range(0, len(data), n):
             p.feed(data[at : at + n])
         assert p.close()["payload_bytes"] == 5
+
+
+def test_a_broken_chunk_names_itself(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 200_000)], "page_id long, url string, html string")
+    chunks = warc.write(df)
+    assert warc.read(chunks).count() == 1
+    from pyspark.sql import functions as F
+
+    broken = chunks.withColumn("data", F.when(F.col("chunk") == 2, F.translate(F.col("data").cast("string"), "x", "y").cast("binary")).otherwise(F.col("data")))
+    with pytest.raises(Exception, match="chunk 2 has another digest"):
+        warc.read(broken).collect()
