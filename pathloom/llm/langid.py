@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow, fresh, id_remainder, in_share, materialize, release
+from .shared import arrow, fresh, id_remainder, in_share, materialize, release, temporary
 
 BLOCK = 512
 #: Languages whose tables (about 2 MB each) are broadcast at once.
@@ -317,6 +317,11 @@ def samples(docs: DataFrame, train_docs: int, train_chars: int) -> DataFrame:
 
 def fit(docs: DataFrame, train_docs: int = 200, train_chars: int = 40_000) -> Languages:
     """Learn from labelled rows outside the held-out fifth (crc32 of the id modulo 5 is 0), within the bounds above."""
+    with temporary(docs.sparkSession):
+        return _fit(docs, train_docs, train_chars)
+
+
+def _fit(docs: DataFrame, train_docs: int, train_chars: int) -> Languages:
     chosen = materialize(samples(docs, train_docs, train_chars), "language-samples")
     langs = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     if not langs:
@@ -329,7 +334,7 @@ def fit(docs: DataFrame, train_docs: int = 200, train_chars: int = 40_000) -> La
         release()
         return pd.DataFrame([made.row(key[0])], columns=[x.split()[0] for x in TABLES.split(", ")])
 
-    return Languages(letters, langs, materialize(chosen.groupBy("lang").applyInPandas(build, TABLES), "language-tables"))
+    return Languages(letters, langs, materialize(chosen.groupBy("lang").applyInPandas(build, TABLES), "language-tables", keep=True))
 
 
 def _parsed(rows: DataFrame, model: Languages, text: int) -> DataFrame:

@@ -23,7 +23,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, in_share, materialize, text_or_empty
+from .shared import fresh, in_share, materialize, temporary, text_or_empty
 
 BUCKETS, SHAPES = 8192, 1024  # of words and of beginnings each
 SIZE = 2 * BUCKETS + SHAPES
@@ -89,13 +89,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, smooth: f
 
 
 def posteriors(docs: DataFrame, model: tuple[list[list[float]], list[float]], heat: float = 0.4) -> DataFrame:
-    """Per id: id, n_tokens, p0.. (``heat`` softens the evidence, as neighbouring features are no independent witnesses)."""
+    """Per id: id, n_tokens, p0.. (``heat`` softens the evidence, as neighbouring features are no independent witnesses).
+
+    The weights are a table of ``SIZE`` rows, broadcast: as literals in the plan they would be in each of its descriptions.
+    """
     weights, priors = model
+    spark, ks = docs.sparkSession, range(len(model[0]))
+    rows = [(f, *(float(w[f]) for w in weights)) for f in range(SIZE)]
+    table = materialize(spark.createDataFrame(rows, "f int, " + ", ".join(f"w{k} double" for k in ks)).coalesce(1), "domain-weights")
     w = F.col("w")
-    rows = _words(docs).select("id", (w != "").cast("int").alias("n"), *(f.alias(f"f{i}") for i, f in enumerate(_features(w))))
-    tables = [F.split(F.lit(",".join(f"{x:.5f}" for x in row)), ",").cast("array<double>") for row in weights]
-    some = rows.groupBy("id").agg(F.sum("n").cast("long").alias("n_tokens"), *(F.sum(F.when(F.col("n") == 1, sum((F.get(t, F.col(f"f{i}")) for i in (1, 2)), F.get(t, F.col("f0")))).otherwise(0.0)).alias(f"z{k}") for k, t in enumerate(tables)))
-    z = [F.col(f"z{k}") * heat + priors[k] for k in range(len(weights))]
+    words = _words(docs).select("id", (w != "").cast("int").alias("n"), *(f.alias(f"f{i}") for i, f in enumerate(_features(w))))
+    for i in range(3):
+        words = words.join(F.broadcast(table.select(F.col("f").alias(f"f{i}"), *(F.col(f"w{k}").alias(f"w{i}{k}") for k in ks))), f"f{i}")
+    of = lambda k: F.col(f"w0{k}") + F.col(f"w1{k}") + F.col(f"w2{k}")
+    some = words.groupBy("id").agg(F.sum("n").cast("long").alias("n_tokens"), *(F.sum(F.when(F.col("n") == 1, of(k)).otherwise(0.0)).alias(f"z{k}") for k in ks))
+    z = [F.col(f"z{k}") * heat + priors[k] for k in ks]
     top = F.greatest(*z)
     e = [F.exp(x - top) for x in z]
     return some.select("id", "n_tokens", *((x / sum(e[1:], e[0])).alias(f"p{k}") for k, x in enumerate(e)))
@@ -164,11 +172,13 @@ TARGETS = {"good": 0.95, "low": 0.03, "toxic": 0.02}
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **how) -> DataFrame:
     """Per id: doc_id, n_tokens, p_good, p_low, p_toxic, rate, copies."""
-    model = fit(docs, labels, **how)
+    with temporary(docs.sparkSession):
+        model = fit(docs, labels, **how)
     if model is None:
         p = _words(docs).groupBy("id").agg(F.sum((F.col("w") != "").cast("int")).cast("long").alias("n_tokens")).select("*", *(F.lit(1.0 if k == 0 else 0.0).alias(f"p{k}") for k in range(len(DOMAINS)))).withColumn("rate", F.lit(1.0))
     else:
-        p = rates(materialize(posteriors(docs, model), "posteriors"), targets or TARGETS)
+        with temporary(docs.sparkSession):
+            p = rates(materialize(posteriors(docs, model), "posteriors", keep=True), targets or TARGETS)
     rate = F.col("rate")
     out = p.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(rate))
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", copies().alias("copies"))

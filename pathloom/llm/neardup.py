@@ -167,7 +167,8 @@ def _agree(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 
 
 def _proven(pairs: DataFrame, marks: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
-    return materialize(confirm(materialize(_agree(pairs, marks, percent), f"{name}-pairs"), texts, percent), f"{name}-links")
+    with temporary(pairs.sparkSession):
+        return materialize(confirm(materialize(_agree(pairs, marks, percent), f"{name}-pairs"), texts, percent), f"{name}-links", keep=True)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -42,7 +42,11 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables that ``materialize`` makes inside are deleted at the end, but for those it is told to keep."""
+    """Tables that ``materialize`` makes inside are deleted at the end, but for those it is told to keep.
+
+    Garbage is collected too: the driver lets go of the shuffle files and broadcasts of the jobs inside, and of the memory that
+    planning them took, before the next ones begin.
+    """
     _MADE.append([])
     try:
         yield
@@ -51,6 +55,8 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         for made in _MADE.pop():
             at = path(made)
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        release()
+        spark._jvm.System.gc()
 
 
 def fresh(docs: DataFrame, stem: str) -> str:
@@ -100,7 +106,7 @@ def arrow(rows: DataFrame, run, schema) -> DataFrame:
 
 
 def release() -> None:
-    """Give a Python worker's free memory back to the system at the end of a task: the process stays for other stages."""
+    """Give a Python process's free memory back to the system: a worker stays for other stages, the driver for other jobs."""
     import ctypes
     import gc
 
