@@ -73,14 +73,29 @@ def supernets(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+def _v4(keys: DataFrame) -> DataFrame:
+    """(k) -> (k, net, len) of the IPv4 prefixes."""
+    return keys.select("k", v4_parse(F.col("k")).alias("p")).where("p is not null").select("k", "p.net", "p.len")
+
+
+def _v6(keys: DataFrame) -> DataFrame:
+    """The others that may be IPv6; the Arrow function gives null for bad text."""
+    return keys.where(F.contains("k", F.lit(":")))
+
+
 def longest_prefix_match(queries: DataFrame, table: DataFrame, key: str = "prefix", value: str = "profile_id") -> DataFrame:
     """Adds ``value`` of the most specific table prefix that covers the query, and matched_len; null where there is none.
 
-    Queries fan out to at most 33 supernets and meet the table by equality: a plain hash join, whatever the table's size.
+    Distinct prefixes fan out to their supernets (at most 33 for IPv4, 97 for IPv6) and meet the table by equality: a plain
+    hash join, whatever the table's size. IPv4 stays in built-in functions. Of equal table prefixes the largest value wins.
     """
-    net = v4_parse(F.col(key))
-    q = queries.withColumn("_q", F.monotonically_increasing_id()).withColumn("_n", net)
-    chain = q.select("_q", F.explode(v4_supernets(F.col("_n.net"), F.col("_n.len"))).alias("s")).select("_q", "s.net", "s.len")
-    t = table.select(v4_parse(F.col(key)).alias("_p"), F.col(value).alias("_v")).where("_p is not null").select("_p.net", "_p.len", "_v")
-    best = chain.join(t, ["net", "len"]).groupBy("_q").agg(F.max_by("_v", "len").alias(value), F.max("len").alias("matched_len"))
-    return q.join(best, "_q", "left").drop("_q", "_n")
+    keys = queries.select(F.col(key).alias("k")).where("k is not null").distinct()
+    rows = table.select(F.col(key).alias("k"), F.col(value).alias("v"))
+    chain = _v4(keys).select("k", F.explode(v4_supernets(F.col("net"), F.col("len"))).alias("s")).select("k", "s.net", "s.len")
+    known = rows.select(v4_parse(F.col("k")).alias("p"), "v").where("p is not null").select("p.net", "p.len", "v")
+    met = chain.join(known, ["net", "len"]).select("k", "len", "v")
+    chain6 = _v6(keys).select("k", F.explode(supernets(F.col("k"))).alias("s")).select("k", F.col("s.prefix").alias("p"), F.col("s.len").alias("len"))
+    known6 = _v6(rows).select(canonical(F.col("k")).alias("c"), "v").where("c.prefix is not null").select(F.col("c.prefix").alias("p"), "v")
+    met = met.unionByName(chain6.join(known6, "p").select("k", "len", "v"))
+    best = met.groupBy("k").agg(F.max(F.struct("len", "v")).alias("b")).select(F.col("k").alias(key), F.col("b.v").alias(value), F.col("b.len").alias("matched_len"))
+    return queries.join(best, key, "left")

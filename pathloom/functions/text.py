@@ -81,6 +81,7 @@ def aligned_floor(ts: Column, seconds: int = 8 * 3600) -> Column:
 
 
 #: Tier edges: upper bounds and labels, the last for everything above. Three schemes.
+# fixed values: bounds and names of the tiers
 TIERS = {
     "simulation": ((500, "1-500"), (2000, "501-2000"), (5000, "2001-5000"), (15000, "5001-15000"), (None, ">15000")),
     "dispersion": ((500, "0-500"), (1500, "501-1500"), (5000, "1501-5000"), (15000, "5001-15000"), (None, "15000+")),
@@ -89,7 +90,7 @@ TIERS = {
 
 
 def rank_tier(rank: Column, scheme: str = "simulation") -> Column:
-    out = F.when(rank.isNull(), "Unknown")
+    out = F.when(rank.isNull() | (rank <= 0), "Unknown")
     for bound, label in TIERS[scheme]:
         out = out.otherwise(label) if bound is None else out.when(rank <= bound, label)
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def min_hops(routes: DataFrame) -> DataFrame:
     """(prefix_id, asn, hop, from_rib): hops from the origin; a snapshot's hop wins over an update's even if it is larger."""
@@ -28,8 +30,13 @@ def profiles(signed: DataFrame) -> DataFrame:
 
 
 def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Dense numbers from 0 in the given order of distinct rows, without a global window."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    """Dense numbers from 0 in the given order of distinct rows, without a global window.
+
+    The ranges' bounds are drawn anew by each job that plans them, so the ranged rows are written once: places in a range and
+    the offsets of the ranges then belong to the same rows, also when a task runs again.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    spread = stored(ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1), "numbered")
     sizes = {r["_p"]: r["n"] for r in spread.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row a partition
     offsets, at = [], 0
     for p in sorted(sizes):

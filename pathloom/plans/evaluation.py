@@ -15,7 +15,7 @@ from ..operators import profiles as R
 from ..operators import sampling as S
 from ..sources import fixtures as X
 from ..sources.readers import read_table
-from .geometry import PAIRS, SCORED, poin, scored
+from .geometry import ALL_PAIRS, SCORED, poin, scored
 from .registered import query
 from .routes import HAM, HOPS, PRINTS, WORDS
 
@@ -200,10 +200,10 @@ def slot_rules(spark, d):
 @query(
     """select epoch(slot)::bigint slot, epoch(coalesce(back, ahead))::bigint baseline, case when back is not null then 'back' when ahead is not null then 'ahead' end how from (
        select slot, (select max(ts) from b where b.ts <= slot and b.ts >= slot - interval 36 hours) back, (select min(ts) from b where b.ts >= slot) ahead from (select distinct slot from collected))""",
-    X.COLLECT, "b as (select distinct time_bucket(interval '8 hours', ts, timestamp '1970-01-01') ts from events where day(ts) not between 8 and 14 and user_id % 3 = 0)",
+    X.COLLECT, "b as (select distinct time_bucket(interval '8 hours', ts, timestamp '1970-01-01') ts from events where day(ts) not between 8 and 14)",
 )
 def baseline_asof(spark, d):
-    e = read_table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id").where(~F.dayofmonth("ts").between(8, 14) & (F.col("user_id") % 3 == 0))
+    e = read_table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts")).where(~F.dayofmonth("ts").between(8, 14))
     b = e.select(T.aligned_floor(F.col("ts")).alias("ts")).distinct()
     out = K.baseline_for(X.collected(spark, d).select("slot").distinct(), b)
     return out.select(F.unix_seconds("slot").alias("slot"), F.unix_seconds("baseline").alias("baseline"), "how")
@@ -333,7 +333,7 @@ def stratified_sample(spark, d):
     return S.stratified(o, "stratum", "key", {"F": 50, "O": 166, "P": 20})
 
 
-@query(f"select degree, median(acceptable)::double acceptable, count(*)::bigint n from (select pid, pid % 7 degree, count(*) filter (least({poin('h1', 'vec')}, {poin('h2', 'vec')}) <= 3.05) acceptable from pairs group by 1, 2) group by 1", X.EMB, PAIRS)
+@query(f"select degree, median(acceptable)::double acceptable, count(*)::bigint n from (select pid, pid % 7 degree, count(*) filter (least({poin('h1', 'vec')}, {poin('h2', 'vec')}) <= 3.05) acceptable from pairs group by 1, 2) group by 1", X.EMB, ALL_PAIRS)
 def acceptable_by_degree(spark, d):
     from .geometry import acceptable_as_count
 
@@ -376,16 +376,10 @@ def _near_pairs(spark, d, hops):
 
 
 @query(
-    f"select ha, hb, count(*)::bigint n, round(avg(d), 4) mean from (select a.hop ha, b.hop hb, {poin('x.vec', 'y.vec')} d from hops a join hops b on a.prefix_id = b.prefix_id and a.asn < b.asn join as_emb x on x.asn = a.asn join as_emb y on y.asn = b.asn where a.hop < 2 and b.hop < 2 and a.prefix_id % 7 = 0) group by 1, 2",
+    f"select ha, hb, count(*)::bigint n, round(avg(d), 4) mean from (select a.hop ha, b.hop hb, {poin('x.vec', 'y.vec')} d from hops a join hops b on a.prefix_id = b.prefix_id and a.asn < b.asn join as_emb x on x.asn = a.asn join as_emb y on y.asn = b.asn where a.hop < 2 and b.hop < 2) group by 1, 2",
     X.ANN, X.EMB, HOPS,
 )
 def near_hop_pairs(spark, d):
-    """The slice of ``near_hop_pairs_all`` that the SQL states."""
-    return _near_pairs(spark, d, R.min_hops(X.announcements(spark, d)).where("prefix_id % 7 = 0"))
-
-
-@query(None)
-def near_hop_pairs_all(spark, d):
     """Distances between networks that are both near one prefix's origin, by their hops, over every prefix."""
     return _near_pairs(spark, d, R.min_hops(X.announcements(spark, d)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import network as N
 from ..functions import text as T
+from ..operators.pairs import blocked
 from ..operators import exempt as E
 from ..operators import grouping as U
 from ..operators import profiles as R
@@ -55,8 +56,8 @@ def child_prefixes(spark, d):
 
 # --- distances ---
 
-SQ = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
-N2 = "list_sum(list_transform({0}, lambda x: x * x))"
+SQ = "pow(list_distance({0}, {1}), 2)"
+N2 = "list_inner_product({0}, {0})"
 
 
 def poin(a: str, b: str) -> str:
@@ -66,6 +67,9 @@ def poin(a: str, b: str) -> str:
 PAIRS = "pairs as (select p.pid, a.asn, h1, h2, vec from profile_emb p join as_emb a on a.asn % 100 = p.pid % 97)"
 
 
+ALL_PAIRS = "pairs as (select p.pid, a.asn, h1, h2, vec from profile_emb p, as_emb a)"
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     a = X.as_embeddings(spark, d).withColumn("k", F.col("asn") % 100)
     return X.profile_embeddings(spark, d).withColumn("k", F.col("pid") % 97).join(a, "k")
@@ -152,10 +156,10 @@ def missing_rows(spark, d):
     return scored(spark, d).where("missing").select("rec_id", "prefix_id")
 
 
-@query("select prefix_id, rec_id, asn from (select *, row_number() over (partition by prefix_id order by round(dist_pa, 9) desc nulls last, asn, ts, rec_id) k from decided) where k = 1", X.ANN, X.EMB, X.CAND, SCORED)
+@query("select prefix_id, rec_id, asn from (select *, row_number() over (partition by prefix_id order by round(dist_pa, 9) desc nulls last, asn, ts, rec_id) k from decided where geometry and not missing) where k = 1", X.ANN, X.EMB, X.CAND, SCORED)
 def top1_per_prefix(spark, d):
     s = scored(spark, d).withColumn("dist_pa", F.round("dist_pa", 9))
-    return D.strongest(s).select("prefix_id", "rec_id", "asn")
+    return D.strongest(s.where(D.category() == "anomalous")).select("prefix_id", "rec_id", "asn")
 
 
 @query(
@@ -280,9 +284,10 @@ def nearest_as(spark, d):
     return S.nearest_other(X.as_embeddings(spark, d))
 
 
-@query(f"select pid, count(*) filter (least({poin('h1', 'vec')}, {poin('h2', 'vec')}) <= 3.05)::bigint acceptable from pairs group by 1", X.EMB, PAIRS)
+@query(f"select pid, count(*) filter (least({poin('h1', 'vec')}, {poin('h2', 'vec')}) <= 3.05)::bigint acceptable from pairs group by 1", X.EMB, ALL_PAIRS)
 def acceptable_as_count(spark, d):
-    return _pairs(spark, d).groupBy("pid").agg(F.count_if(G.head_distance(F.col("heads"), F.col("vec")) <= 3.05).cast("long").alias("acceptable"))
+    """How many of all networks are within the threshold of each profile."""
+    return blocked(X.profile_embeddings(spark, d), X.as_embeddings(spark, d)).groupBy("pid").agg(F.count_if(G.head_distance(F.col("heads"), F.col("vec")) <= 3.05).cast("long").alias("acceptable"))
 
 
 @query(

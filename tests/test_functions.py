@@ -52,6 +52,16 @@ def test_longest_prefix_match(spark, prefix, want):
     assert [r.profile_id for r in got] == [want]
 
 
+@pytest.mark.parametrize("prefix,want,length", [("2001:db8:1::/48", 1, 32), ("2001:db8:1:2::5/64", 2, 56), ("2001:0DB8:0001:0200::/56", 4, 48), ("2001:db9::/32", None, None), ("2001::/16", 3, 16), ("2002::/16", None, None), ("::ffff:10.1.2.0/120", None, None), ("10.1.2.0/24", 5, 8), ("2001:zz::/48", None, None)])
+def test_longest_prefix_match_of_both_families(spark, prefix, want, length):
+    table = spark.createDataFrame([("2001:db8::/32", 1), ("2001:db8:1::/56", 2), ("2001:db8:1::/48", 4), ("2001::/16", 3), ("10.0.0.0/8", 5), ("::", 6), (None, 7)], "prefix string, profile_id long")
+    if prefix == "2001:db8:1::/48":
+        table = table.where("profile_id <> 4")
+    rows = spark.createDataFrame([(prefix, 1), (prefix, 2), (None, 3)], "prefix string, k int")
+    got = sorted((r.k, r.profile_id, r.matched_len) for r in network.longest_prefix_match(rows, table).collect())
+    assert got == [(1, want, length), (2, want, length), (3, None, None)]
+
+
 def test_v6_chain_and_canonical(spark):
     d = spark.createDataFrame([("2001:db8:1::1/48",), ("2001:db8::/31",), ("10.1.2.3/24",), ("x",), (None,)], "p string")
     got = d.select(network.canonical("p").alias("c"), network.supernets("p").alias("s")).collect()
@@ -79,7 +89,7 @@ def test_archive_names(spark, name, want):
 
 
 def test_tiers(spark):
-    assert [one(spark, text.rank_tier(F.lit(r).cast("long"))) for r in (1, 500, 501, 15000, 15001, None)] == ["1-500", "1-500", "501-2000", "5001-15000", ">15000", "Unknown"]
+    assert [one(spark, text.rank_tier(F.lit(r).cast("long"))) for r in (1, 500, 501, 15000, 15001, None, 0, -3)] == ["1-500", "1-500", "501-2000", "5001-15000", ">15000", "Unknown", "Unknown", "Unknown"]
 
 
 def test_draws_stay_in_range(spark):

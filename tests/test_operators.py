@@ -38,6 +38,18 @@ def test_dense_numbers(spark):
     assert profiles.number(d.limit(0), ["v"], "k").count() == 0
 
 
+def test_dense_numbers_of_many_rows(spark):
+    """Over a million rows, of a skewed and unsorted column, in many partitions: every number once, in order."""
+    n = 1_200_000
+    d = spark.range(0, n, 1, 37).select(F.concat(F.when(F.col("id") % 3 == 0, "a").otherwise("b"), F.sha1(F.col("id").cast("string"))).alias("v"))
+    got = profiles.number(d, ["v"], "k")
+    from pyspark.sql import Window
+
+    assert got.agg(F.count("*"), F.countDistinct("k"), F.min("k"), F.max("k")).first() == (n, n, 0, n - 1)
+    block = Window.partitionBy(F.floor(F.col("k") / 10_000)).orderBy("k")
+    assert got.withColumn("before", F.lag("v").over(block)).where("before >= v").isEmpty()
+
+
 def closure(links):
     nodes = {x for e in links for x in e}
     reach = {n: {n} for n in nodes}
