@@ -37,6 +37,8 @@ from .shared import arrow, fresh, id_remainder, in_share, materialize, release,
 BLOCK = 512
 #: Languages whose tables (about 2 MB each) are broadcast at once.
 GROUP_LANGS = 16
+#: Up to so many labels (one row each) are broadcast; beyond, they are joined by shuffle.
+FEW_LANGS = 20_000
 #: Texts parsed at once hold about so many characters; a longer text is parsed in portions of so many.
 PARSE_CHARS = 2_000_000
 #: Gaps that a row of several steps is tried at before it goes to the end.
@@ -302,7 +304,9 @@ def samples(docs: DataFrame, train_docs: int, train_chars: int) -> DataFrame:
     piece = max(1, train_chars // train_docs)
     rows = rows.withColumn("n", F.ceil(F.length("text") / piece).cast("int")).where("n > 0")
     totals = rows.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("chars"), F.sum(F.col("n").cast("long")).alias("pieces"))
-    totals = totals.withColumn("share", 1.5 * train_chars / F.col("chars") + 20 / F.col("pieces")).select("lang", "share")
+    totals = materialize(totals.withColumn("share", 1.5 * train_chars / F.col("chars") + 20 / F.col("pieces")).select("lang", "share"), "language-shares")
+    if totals.limit(FEW_LANGS + 1).count() <= FEW_LANGS:
+        totals = F.broadcast(totals)
     before = Window.partitionBy("lang").orderBy("h", "doc_id", "i", "text").rowsBetween(Window.unboundedPreceding, -1)
     places = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: in_share(F.xxhash64("doc_id", i), F.col("share")))
     return (
