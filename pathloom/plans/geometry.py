@@ -64,23 +64,24 @@ def poin(a: str, b: str) -> str:
     return f"acosh(greatest(1.0::double, 1 + 2 * {SQ.format(a, b)} / ((1 - {N2.format(a)}) * (1 - {N2.format(b)}))))"
 
 
-PAIRS = "pairs as (select p.pid, a.asn, h1, h2, vec from profile_emb p join as_emb a on a.asn % 100 = p.pid % 97)"
+PAIRS = "pairs as (select p.pid, a.asn, hop, h1, h2, vec from hops join profile_emb p on p.pid = prefix_id join as_emb a using (asn))"
 
 
 ALL_PAIRS = "pairs as (select p.pid, a.asn, h1, h2, vec from profile_emb p, as_emb a)"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    a = X.as_embeddings(spark, d).withColumn("k", F.col("asn") % 100)
-    return X.profile_embeddings(spark, d).withColumn("k", F.col("pid") % 97).join(a, "k")
+    """Each profile with each network on its paths, and the hop."""
+    h = R.min_hops(X.announcements(spark, d)).select(F.col("prefix_id").alias("pid"), "asn", "hop")
+    return h.join(X.profile_embeddings(spark, d), "pid").join(X.as_embeddings(spark, d), "asn")
 
 
-@query(f"select pid, asn, round(least(13, least({poin('h1', 'vec')}, {poin('h2', 'vec')})), 6) d from pairs", X.EMB, PAIRS)
+@query(f"select pid, asn, round(least(13, least({poin('h1', 'vec')}, {poin('h2', 'vec')})), 6) d from pairs", X.ANN, HOPS, X.EMB, PAIRS)
 def poincare_pa(spark, d):
     return _pairs(spark, d).select("pid", "asn", F.round(G.head_distance(F.col("heads"), F.col("vec")), 6).alias("d"))
 
 
-@query(f"select pid, asn, round(least(13, least(sqrt({SQ.format('h1', 'vec')}), sqrt({SQ.format('h2', 'vec')}))), 6) d from pairs", X.EMB, PAIRS)
+@query(f"select pid, asn, round(least(13, least(sqrt({SQ.format('h1', 'vec')}), sqrt({SQ.format('h2', 'vec')}))), 6) d from pairs", X.ANN, HOPS, X.EMB, PAIRS)
 def euclidean_pa(spark, d):
     return _pairs(spark, d).select("pid", "asn", F.round(G.head_distance(F.col("heads"), F.col("vec"), G.euclidean), 6).alias("d"))
 
@@ -174,7 +175,7 @@ def detection_stats(spark, d):
 
 # --- exemptions ---
 
-ANCHORS = "anchors as (select p.prefix_id % 100 + 1 as_id, lo, hi from prints p where p.prefix_id % 3 = 0)"
+ANCHORS = "anchors as (select p.prefix_id % 100 + 1 as_id, lo, hi from prints p)"
 
 
 def _prints(spark, d):
@@ -189,7 +190,7 @@ def _prints(spark, d):
 def anchor_exemption(spark, d):
     """With a wide radius, as fingerprints of the fixture are far apart."""
     p = _prints(spark, d)
-    anchors = p.where("pid % 3 = 0").select((F.col("pid") % 100 + 1).alias("as_id"), "lo", "hi")
+    anchors = p.select((F.col("pid") % 100 + 1).alias("as_id"), "lo", "hi")
     c = X.candidates(spark, d).withColumn("geometry", F.lit(True))
     return D.anchor_exempt(c, p, anchors, every=True, most=56).select("rec_id", "anchor")
 
@@ -292,10 +293,10 @@ def acceptable_as_count(spark, d):
 
 @query(
     f"""select pid, head::int head, round(votes, 6) votes, round(votes - coalesce(n, 0), 6) margin from (
-       select *, row_number() over w k, lead(votes) over w n from (select pid, head, sum(1.0::double / (asn % 4 + 1)) votes from (
-         select pid, asn, case when round({poin('h1', 'vec')}, 9) <= round({poin('h2', 'vec')}, 9) then 0 else 1 end head from pairs) group by 1, 2) window w as (partition by pid order by votes desc, head)) where k = 1""",
-    X.EMB, PAIRS,
+       select *, row_number() over w k, lead(votes) over w n from (select pid, head, round(sum(1.0::double / (hop + 1)), 9) votes from (
+         select pid, asn, hop, case when round({poin('h1', 'vec')}, 9) <= round({poin('h2', 'vec')}, 9) then 0 else 1 end head from pairs) group by 1, 2) window w as (partition by pid order by votes desc, head)) where k = 1""",
+    X.ANN, HOPS, X.EMB, PAIRS,
 )
 def primary_head(spark, d):
-    p = _pairs(spark, d).select("pid", "asn", (F.col("asn") % 4).alias("hop"), "vec", F.posexplode("heads").alias("head", "h"))
+    p = _pairs(spark, d).select("pid", "asn", "hop", "vec", F.posexplode("heads").alias("head", "h"))
     return S.primary_heads(p.select("pid", "asn", "hop", "head", F.round(G.poincare(F.col("h"), F.col("vec")), 9).alias("d"))).select("pid", "head", F.round("votes", 6).alias("votes"), F.round("margin", 6).alias("margin"))

@@ -10,10 +10,9 @@ from ..sources import fixtures as X
 from .registered import query
 
 
-def _triplets(spark, d, profiles: int = 300):
-    """Triplets of the first profiles: the training set is the model's own bounded input."""
+def _triplets(spark, d):
     h = R.min_hops(X.announcements(spark, d))
-    return h.where(F.col("prefix_id") < profiles).select(F.col("prefix_id").alias("profile"), "asn", "hop", F.when(F.col("from_rib"), 1.0).otherwise(0.2).alias("weight"))
+    return h.select(F.col("prefix_id").alias("profile"), "asn", "hop", F.when(F.col("from_rib"), 1.0).otherwise(0.2).alias("weight"))
 
 
 @query()
@@ -26,4 +25,4 @@ def train_embeddings(spark, d):
 @query()
 def sweep_embeddings(spark, d):
     configs = [embed.Config(dim=n, epochs=8, geometry=g) for n in (4, 8) for g in ("hyperbolic", "euclidean")]
-    return embed.sweep(spark, _triplets(spark, d, 100), configs)
+    return embed.sweep(spark, _triplets(spark, d), configs)
