@@ -38,10 +38,12 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """(id, word, n) with n = 0 for the empty word that keeps an empty text."""
+def _words(docs: DataFrame, one: DataFrame | None = None) -> DataFrame:
+    """(id, word), with an empty word that keeps an empty text; beside each, the columns of the one row of ``one``."""
     d = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(docs["text"]).alias("t"))
-    return d.select("id", F.explode(F.split("t", r"[\x20\x09-\x0D]")).alias("w"))
+    if one is not None:
+        d = d.crossJoin(F.broadcast(one))
+    return d.select("id", *(one.columns if one is not None else ()), F.explode(F.split("t", r"[\x20\x09-\x0D]")).alias("w"))
 
 
 def _features(w: Column) -> tuple[Column, ...]:
@@ -91,17 +93,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, smooth: f
 def posteriors(docs: DataFrame, model: tuple[list[list[float]], list[float]], heat: float = 0.4) -> DataFrame:
     """Per id: id, n_tokens, p0.. (``heat`` softens the evidence, as neighbouring features are no independent witnesses).
 
-    The weights are a table of ``SIZE`` rows, broadcast: as literals in the plan they would be in each of its descriptions.
+    The weights are one row of ``SIZE`` x domains numbers (half a megabyte), broadcast: as literals in the plan they would be in
+    each of its descriptions, and as a table of rows each word would be joined three times.
     """
     weights, priors = model
-    spark, ks = docs.sparkSession, range(len(model[0]))
-    rows = [(f, *(float(w[f]) for w in weights)) for f in range(SIZE)]
-    table = materialize(spark.createDataFrame(rows, "f int, " + ", ".join(f"w{k} double" for k in ks)).coalesce(1), "domain-weights")
+    spark, ks = docs.sparkSession, range(len(weights))
+    flat = [float(w[f]) for f in range(SIZE) for w in weights]
+    one = materialize(spark.createDataFrame([(flat,)], "weights array<double>").coalesce(1), "domain-weights")
     w = F.col("w")
-    words = _words(docs).select("id", (w != "").cast("int").alias("n"), *(f.alias(f"f{i}") for i, f in enumerate(_features(w))))
-    for i in range(3):
-        words = words.join(F.broadcast(table.select(F.col("f").alias(f"f{i}"), *(F.col(f"w{k}").alias(f"w{i}{k}") for k in ks))), f"f{i}")
-    of = lambda k: F.col(f"w0{k}") + F.col(f"w1{k}") + F.col(f"w2{k}")
+    words = _words(docs, one).select("id", "weights", (w != "").cast("int").alias("n"), *(f.alias(f"f{i}") for i, f in enumerate(_features(w))))
+    of = lambda k: sum((F.get("weights", F.col(f"f{i}") * len(weights) + k) for i in (1, 2)), F.get("weights", F.col("f0") * len(weights) + k))
     some = words.groupBy("id").agg(F.sum("n").cast("long").alias("n_tokens"), *(F.sum(F.when(F.col("n") == 1, of(k)).otherwise(0.0)).alias(f"z{k}") for k in ks))
     z = [F.col(f"z{k}") * heat + priors[k] for k in ks]
     top = F.greatest(*z)
