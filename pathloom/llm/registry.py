@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, mixing, neardup, packing, quality, secrets, tokencount, toxicity, warc
+from . import filteraudit, fingerprint, langid, mixing, neardup, packing, quality, secrets, sharding, tokencount, toxicity, warc, whitening
 from .shared import table, tokenizer_path
 
 
@@ -53,10 +53,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_warc, op4_near_duplicates, op5_fingerprints, op6_quality, op7_token_counts, op8_mixing, op9_packing, op10_language)}
+    found = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_warc, op4_near_duplicates, op5_fingerprints, op6_quality, op7_token_counts, op8_mixing, op9_packing, op10_language, op11_whitening, op12_sharding, op13_filter_audit)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
@@ -79,6 +91,21 @@ b as (select u, v from l union select v, u from l),
 r(u, v) as (select u, v from b union select r.u, b.v from r join b on b.u = r.v)
 select s.doc_id, len(sh)::bigint n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) component_id, s.doc_id <= coalesce(m, s.doc_id) kept from s left join (select u, min(v) m from r group by 1) t on t.u = s.doc_id"""
 
+OP13_SQL = r"""
+with recursive t as (select doc_id, coalesce(source, '') part, coalesce(text, '') x from documents),
+w as (select *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') ws, min(doc_id) over (partition by x) least from t),
+l as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by 1),
+m as materialized (select part, (len(ws) < 50)::int + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::int + 4 * (100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x))::int
+      + 8 * regexp_matches(x, '[#$%&*|]')::int + 16 * coalesce(doc_id > least, false)::int mask, count(*) n, sum(coalesce(good, 0)) good, sum(coalesce(toxic, 0)) toxic from w left join l using (doc_id) group by all),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) c),
+o(filter_order) as (select a.c || b.c || c.c || d.c || e.c from f a, f b, f c, f d, f e where len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s as (select filter_order, k step, 1 << (instr('ABCDE', filter_order[k]) - 1) bit, list_sum(list_transform(range(1, k), lambda i: 1 << (instr('ABCDE', filter_order[i:i]) - 1))) before from o, unnest(range(1, 6)) r(k)),
+p as (select filter_order, step, bit, coalesce(before, 0)::int before from s)
+select part, filter_order, step::int step, sum(case when mask & (before | bit) = 0 then n else 0 end)::bigint kept, sum(case when mask & bit > 0 and mask & before = 0 then n else 0 end)::bigint removed,
+   sum(case when mask & bit > 0 and mask & before > 0 then n else 0 end)::bigint redundant, sum(case when mask = bit then n else 0 end)::bigint unique_fails,
+   sum(case when mask & bit > 0 and mask & before = 0 then good else 0 end)::bigint good_lost, sum(case when mask & bit > 0 and mask & before = 0 then toxic else 0 end)::bigint toxic_lost,
+   sum(case when mask & bit > 0 then n * (120 // bit_count(mask)) else 0 end)::bigint shapley from m, p group by all"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_near_duplicates": OP4_SQL}
+    return {"op3_warc": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op13_filter_audit": OP13_SQL}
