@@ -2,7 +2,7 @@
 
 The filters: A under 50 words; B fewer than 65 different words in 100; C over 5 capitals in 100 code points; D any of
 ``#$%&*|``; E the same text as a document with a smaller id, in the whole table. One scan gives each document the mask of A to
-D, its length in code points, and a chain of hashes: of the first block of its bytes, then with each next block, four times as
+D, its length in code points, and a chain of hashes: of the first block of its bytes, then with each next block, 16 times as
 long as the one before.
 
 Duplicates: the rows are split by length, then by the first hash of the chain, the second and so on; what is alone in its part
@@ -27,7 +27,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import arrow, materialize, temporary
@@ -36,7 +36,7 @@ FILTERS = "ABCDE"
 CAPITALS, SYMBOLS = bytes(range(65, 91)), b"#$%&*|"
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of the first block; each next one is so many times as long.
-FIRST, GROWTH = 512, 4
+FIRST, GROWTH = 1024, 16
 #: Words of 64 bits in the bitmap.
 BITMAP = 1 << 18
 STRIDE = 1 << 20
@@ -116,46 +116,56 @@ def _texts(docs: DataFrame, classes: DataFrame, bits: int):
 
 
 def refine(facts: DataFrame) -> DataFrame:
-    """(n_chars, chain) -> (class), the last hashes that more than one row has, found by splitting part after part."""
-
-    def shared_only(rows: DataFrame, key: str) -> DataFrame:
-        counts = materialize(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "audit-parts")
-        return materialize(rows.join(counts, key, "left_semi"), "audit-rows")
-
-    active, done, k = shared_only(facts.select("n_chars", "chain"), "n_chars").select("chain"), [], 0
-    while True:
-        active = shared_only(active.withColumn("hash", F.get("chain", F.lit(k))), "hash")
-        k += 1
-        done.append(active.where(F.size("chain") == k).select(F.col("hash").alias("class")).distinct())
-        active = active.where(F.size("chain") > k).select("chain")
-        if active.isEmpty():
-            break
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
-    return materialize(found.distinct(), "audit-classes")
+    """(n_chars, chain) -> (class), the last hashes that more than one row has, found by splitting part after part.
+
+    A round keeps only the keys of parts with more rows than one. The next one's rows are those whose hash before it is among
+    them: a hash holds all before it, so what was dropped in an earlier round stays out.
+    """
+
+    def parts(rows: DataFrame, key: Column, k: int) -> DataFrame:
+        n = F.size("chain")
+        found = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.max(n == k).alias("done"), F.max(n > k).alias("more"))
+        return materialize(found.where("n > 1").select("key", "done", "more"), "audit-parts", keep=True)
+
+    hashes = facts.select(F.col("n_chars").cast("long").alias("n_chars"), "chain")
+    with temporary(facts.sparkSession):
+        now, before, k, found = parts(hashes, F.col("n_chars"), 0), F.col("n_chars"), 0, []
+        while not now.where("more").isEmpty():
+            left = hashes.withColumn("before", before).join(now.where("more").select(F.col("key").alias("before")), "before", "left_semi")
+            now, before = parts(left.where(F.size("chain") > k), F.get("chain", F.lit(k)), k + 1), F.get("chain", F.lit(k))
+            k += 1
+            found.append(now.where("done").select(F.col("key").alias("class")))
+        if not found:
+            return now.select(F.col("key").alias("class")).limit(0)
+        for other in found[1:]:
+            found[0] = found[0].unionByName(other)
+        return found[0]
+
+
+def _masks(docs: DataFrame, bits: int) -> DataFrame:
+    """See ``failing``; reads tables of the ``temporary`` block that is open."""
+    facts = materialize(_facts(docs, bits), "audit-facts")
+    texts, bitmap = _texts(docs, refine(facts), bits)
+    with temporary(docs.sparkSession):
+        least = materialize(texts.groupBy("class", "text").agg(F.min("doc_id").alias("least")).select("class", "least"), "audit-texts", keep=True)
+    bitmap.destroy()
+    mixed = materialize(least.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "audit-mixed")
+    facts = facts.select("doc_id", "part", "mask", F.element_at("chain", -1).alias("class"))
+    if mixed.isEmpty():
+        out = facts.join(least, "class", "left")
+    else:  # different texts with the same hashes
+        texts, bitmap = _texts(docs, mixed, bits)
+        texts = materialize(texts.join(mixed, "class", "left_semi"), "audit-mixed-texts")
+        bitmap.destroy()
+        each = materialize(texts.groupBy("class", "text").agg(F.min("doc_id").alias("least")), "audit-mixed-least")
+        out = facts.join(mixed, "class", "left_anti").join(least, "class", "left").unionByName(texts.join(each, ["class", "text"]).drop("text"))
+    return out.select("doc_id", "part", (F.col("mask") + F.when(F.col("doc_id") > F.col("least"), 16).otherwise(0)).cast("int").alias("mask"))
 
 
 def failing(docs: DataFrame, bits: int = 64) -> DataFrame:
     """Per document: doc_id, part, mask (E is 16). ``bits``: of the hashes, fewer only in tests."""
     with temporary(docs.sparkSession):
-        facts = materialize(_facts(docs, bits), "audit-facts")
-        classes = refine(facts)
-        texts, bitmap = _texts(docs, classes, bits)
-        least = materialize(texts.groupBy("class", "text").agg(F.min("doc_id").alias("least")).select("class", "least"), "audit-texts")
-        bitmap.destroy()
-        mixed = materialize(least.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "audit-mixed")
-        facts = facts.select("doc_id", "part", "mask", F.element_at("chain", -1).alias("class"))
-        again = F.when(F.col("doc_id") > F.col("least"), 16).otherwise(0)
-        if mixed.isEmpty():
-            out = facts.join(least, "class", "left")
-        else:  # different texts with the same hashes
-            texts, bitmap = _texts(docs, mixed, bits)
-            texts = materialize(texts.join(mixed, "class", "left_semi"), "audit-mixed-texts")
-            bitmap.destroy()
-            each = materialize(texts.groupBy("class", "text").agg(F.min("doc_id").alias("least")), "audit-mixed-least")
-            out = facts.join(mixed, "class", "left_anti").join(least, "class", "left").unionByName(texts.join(each, ["class", "text"]).drop("text"))
-        return materialize(out.select("doc_id", "part", (F.col("mask") + again).cast("int").alias("mask")), "audit-masks", keep=True)
+        return materialize(_masks(docs, bits), "audit-masks", keep=True)
 
 
 def counts(masks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -188,5 +198,5 @@ def audit(by_mask: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     with temporary(docs.sparkSession):
-        by_mask = materialize(counts(failing(docs), labels), "audit-counts", keep=True)
+        by_mask = materialize(counts(_masks(docs, 64), labels), "audit-counts", keep=True)
     return audit(by_mask)
