@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LINK = ["prefix_id", "from_as", "to_as"]
@@ -35,3 +35,21 @@ def absorb(baseline: DataFrame, updates: DataFrame, start, hours: int = 8) -> Da
     """The baseline with the warm-up, the updates of the hours before ``start``, which trigger nothing."""
     warm = updates.where((F.col("ts") >= start - F.expr(f"interval {hours} hours")) & (F.col("ts") < start))
     return baseline.select(*LINK).unionByName(warm.select(*LINK)).distinct()
+
+
+def history(links: DataFrame, ttl: int = 2 * 3600) -> DataFrame:
+    """(prefix_id, rec_id, ts, from_as, to_as) -> per record the number of links that its prefix's history then holds.
+
+    Each record adds its links and renews the history, which is forgotten when more than ``ttl`` seconds pass without one. So
+    the times of a prefix fall into lives without such a gap; a link counts from its first time in a life on. Records of one
+    time see each other's links. Only counts are summed: no list of links is made, however many a prefix has.
+    """
+    rows = links.select("prefix_id", "rec_id", F.unix_seconds("ts").alias("s"), "from_as", "to_as")
+    order = Window.partitionBy("prefix_id").orderBy("s")
+    times = rows.select("prefix_id", "s").distinct().withColumn("gap", F.coalesce((F.col("s") - F.lag("s").over(order) > ttl).cast("int"), F.lit(0)))
+    times = times.select("prefix_id", "s", F.sum("gap").over(order).alias("life"))
+    first = rows.join(times, ["prefix_id", "s"]).groupBy("prefix_id", "life", "from_as", "to_as").agg(F.min("s").alias("s"))
+    added = first.groupBy("prefix_id", "life", "s").agg(F.count("*").alias("n"))
+    held = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("prefix_id", "life").orderBy("s"))
+    counts = times.join(added, ["prefix_id", "life", "s"], "left").select("prefix_id", "s", held.alias("history"))
+    return rows.select("prefix_id", "rec_id", "s").distinct().join(counts, ["prefix_id", "s"]).select("prefix_id", "rec_id", "history")

@@ -95,6 +95,34 @@ def lease_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+MONITOR = """
+mon as (select event_id rec_id, user_id prefix_id, event_id % 2 + 1 peer, epoch_us(ts) // 1000000 sec, case when event_type in ('error', 'signup') then 'W' else 'A' end event,
+   cast(json_extract(props, '$.k') as bigint) % 20 + 1 origin, event_type = 'view' and event_id % 7 = 0 is_blackhole, event_id % 2 + 101 near, 30 + event_id * 31 % 17 mid from events),
+mon_links as (select rec_id, prefix_id, sec, origin, mid from_as, near to_as from mon where event = 'A' union all select rec_id, prefix_id, sec, origin, origin, mid from mon where event = 'A'),
+bases as (select * from (values (1704412800, 0), (1705017600, 1), (1705622400, 2)) v(version, k)),
+base_links as (select distinct version, prefix_id, from_as, to_as from mon_links join bases on rec_id % 4 = k)"""
+#: Seconds of the baselines above; the first is where detection begins.
+VERSIONS = (1704412800, 1705017600, 1705622400)
+
+
+def monitor_updates(spark: SparkSession, d: str) -> DataFrame:
+    """rec_id, prefix_id, peer, sec, event, origin, is_blackhole, path of three networks."""
+    e = F.col("event_id")
+    origin = F.get_json_object("props", "$.k").cast("bigint") % 20 + 1
+    return read_table(spark, d, "events").select(
+        e.alias("rec_id"), F.col("user_id").alias("prefix_id"), (e % 2 + 1).alias("peer"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec"), F.when(F.col("event_type").isin("error", "signup"), "W").otherwise("A").alias("event"),
+        origin.alias("origin"), ((F.col("event_type") == "view") & (e % 7 == 0)).alias("is_blackhole"), F.array(e % 2 + 101, e * 31 % 17 + 30, origin).alias("path"),
+    )
+
+
+def monitor_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """version, prefix_id, from_as, to_as: three snapshots, each with the links of a quarter of the announcements of all times."""
+    rows = monitor_updates(spark, d).where("event = 'A'")
+    links = rows.select("rec_id", "prefix_id", F.explode(F.array(F.struct(F.get("path", F.lit(1)).alias("a"), F.get("path", F.lit(0)).alias("b")), F.struct(F.get("path", F.lit(2)).alias("a"), F.get("path", F.lit(1)).alias("b")))).alias("x"))
+    version = F.get(F.array(*map(F.lit, VERSIONS)), (F.col("rec_id") % 4).cast("int")).cast("long")
+    return links.select(version.alias("version"), "prefix_id", F.col("x.a").alias("from_as"), F.col("x.b").alias("to_as")).where("version is not null").distinct()
+
+
 EMB = """
 en as (select count(*) n from embeddings),
 as_emb as (select s.asn, list_transform(e.embedding, lambda x: x::double * (0.70 + 0.029 * (s.asn % 10))) vec
