@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import arrow, materialize, release, text_or_empty
 
-MEMO_CHUNKS, MEMO_LENGTH = 300_000, 48
+MEMO_CHUNKS, MEMO_LENGTH = 150_000, 48
 #: See _unusual; marks that may follow a word.
 UNUSUAL, MARKS = re.compile("[\u0130\u0240-\U0010ffff]"), "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 
