@@ -215,6 +215,20 @@ def collected(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").select(slot.alias("slot"), F.when(F.col("user_id") % 2 == 0, "ris").otherwise("rv").alias("source"), (F.col("user_id") % 23).alias("collector")).distinct()
 
 
+def archive_pages(spark: SparkSession, d: str) -> DataFrame:
+    """page, html: listing pages of both families with the slots of ``collected``; one row for each month, collector and folder."""
+    c = collected(spark, d)
+    minute, hour = F.minute("slot"), F.hour("slot")
+    kind = F.explode(F.array_compact(F.array(
+        F.when((F.col("source") == "ris") | (minute % 15 == 0), F.lit("updates")), F.when((minute == 0) & (hour % 2 == 0) & (F.col("source") == "rv"), F.lit("rib")), F.when((minute == 0) & (hour % 8 == 0) & (F.col("source") == "ris"), F.lit("bview")),
+    )))
+    c = c.withColumn("kind", kind)
+    month = F.date_format("slot", "yyyy.MM")
+    page = F.when(F.col("source") == "ris", F.concat(F.lit("ris/rrc"), F.col("collector"), F.lit("/"), month)).otherwise(F.concat(F.lit("rv/c"), F.col("collector"), F.lit("/bgpdata/"), month, F.when(F.col("kind") == "rib", "/RIBS").otherwise("/UPDATES")))
+    link = F.concat(F.lit('<a href="'), F.col("kind"), F.date_format("slot", ".yyyyMMdd.HHmm"), F.when(F.col("source") == "ris", ".gz").otherwise(".bz2"), F.lit('">x</a>'))
+    return c.groupBy(page.alias("page")).agg(F.array_join(F.sort_array(F.collect_list(link)), "\n").alias("html"))
+
+
 PREFIXES = """
 table_prefixes as (
   select 167772160 + c_custkey * 256 net, 24 len, c_custkey pid from customer where c_custkey % 3 = 0
