@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_percentiles
+
 POLICIES = ("archived", "aligned")
 
 
@@ -80,5 +82,9 @@ def check_keys(rows: DataFrame, key: tuple[str, ...] = ("sample_id", "repeat_see
 
 
 def distance_summary(d: DataFrame, by: str, value: str = "d") -> DataFrame:
-    q = lambda p, name: F.expr(f"percentile({value}, {p})").alias(name)
-    return d.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q(0.5, "median"), q(0.25, "q1"), q(0.75, "q3"), q(0.9, "p90"), q(0.95, "p95")).withColumn("iqr", F.col("q3") - F.col("q1"))
+    """Per group: count, mean, deviation and exact percentiles."""
+    moments = d.groupBy(F.col(by).alias("_by")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    names = {"median": 0.5, "q1": 0.25, "q3": 0.75, "p90": 0.9, "p95": 0.95}
+    q = exact_percentiles(d, value, list(names.values()), by)
+    met = moments.join(q, F.col("_by").eqNullSafe(F.col(by)), "left").select(F.col("_by").alias(by), "n", "mean", "std", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(names)))
+    return met.withColumn("iqr", F.col("q3") - F.col("q1"))

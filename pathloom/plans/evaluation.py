@@ -13,6 +13,7 @@ from ..operators import evaluate as E
 from ..operators import pairs as Q
 from ..operators import profiles as R
 from ..operators import sampling as S
+from ..operators.quantiles import exact_percentiles
 from ..sources import fixtures as X
 from ..sources.readers import read_table
 from .geometry import ALL_PAIRS, SCORED, poin, scored
@@ -342,8 +343,7 @@ def acceptable_by_degree(spark, d):
 
 @query("select round(quantile_cont(norm, 0.1), 6) p10, round(quantile_cont(norm, 0.5), 6) p50, round(quantile_cont(norm, 0.9), 6) p90 from norms", X.EMB, NORMS)
 def radius_strata(spark, d):
-    p = F.expr("percentile(norm, array(0.1, 0.5, 0.9))")
-    return _norms(spark, d).agg(p.alias("p")).select(*(F.round(F.get("p", F.lit(i)), 6).alias(f"p{n}") for i, n in enumerate((10, 50, 90))))
+    return exact_percentiles(_norms(spark, d), "norm", [0.1, 0.5, 0.9]).select(*(F.round(F.get("p", F.lit(i)), 6).alias(f"p{n}") for i, n in enumerate((10, 50, 90))))
 
 
 @query("select category, count(*)::bigint n, round(avg(dist_pa), 4) mean_pa from (select case when missing then 'missing' when geometry then 'anomalous' else 'normal' end category, dist_pa from decided) group by 1", X.ANN, X.EMB, X.CAND, SCORED)
@@ -393,12 +393,23 @@ def similarity_bin_samples(spark, d):
     return S.smallest(h, "bin", "prefix_id", "other", 40).select("bin", "prefix_id", "other", "h")
 
 
-@query(None)
+@query(
+    """with e as (select embedding[1]::double x, embedding[2]::double y, label % 3 g from embeddings),
+       r as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from e),
+       c as (select least(floor((x - x0) / greatest(x1 - x0, 1e-12) * 10), 9)::int cx, least(floor((y - y0) / greatest(y1 - y0, 1e-12) * 10), 9)::int cy, g, count(*) n from e, r group by all),
+       b as (select i.bx, j."by", g, sum(n)::bigint n from c, (select unnest(range(10))::int bx) i, (select unnest(range(10))::int "by") j where cx between i.bx and i.bx + 2 and cy between j."by" and j."by" + 2 group by all)
+       select bx, "by", case when count(*) = (select count(distinct g) from e) then min(n) else 0 end::bigint least, sum(n)::bigint points from b group by 1, 2 order by 3 desc, 4 desc, 1, 2 limit 1"""
+)
 def zoom_box(spark, d):
     e = read_table(spark, d, "embeddings").select(F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"), (F.col("label") % 3).alias("g"))
     return S.zoom_box(e)
 
 
-@query(None)
+@query(
+    """with b as (select floor((l_quantity - 0.0::double) / 0.2::double) b, count(*) n from lineitem where l_quantity between 0 and 50 group by 1),
+       g as (select 0.0::double + i * (50.0::double / 24) x from (select unnest(range(25)) i))
+       select round(x, 6) x, round(sum(exp(-0.5::double * pow((x - (b + 0.5::double) * 0.2::double) / 2.0::double, 2)) / (2.0::double * 2.5066282746310002::double) * n) / sum(n), 9) density from b, g group by 1"""
+)
 def kernel_density(spark, d):
-    return S.kernel_density(read_table(spark, d, "lineitem"), "l_quantity", 0.0, 50.0, 25, 2.0)
+    k = S.kernel_density(read_table(spark, d, "lineitem"), "l_quantity", 0.0, 50.0, 25, 2.0)
+    return k.select(F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))

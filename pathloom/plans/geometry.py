@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import network as N
 from ..functions import text as T
-from ..operators.pairs import blocked
 from ..operators import exempt as E
 from ..operators import grouping as U
+from ..operators import pivots as V
 from ..operators import profiles as R
 from ..operators import sampling as S
 from ..operators import scoring as D
@@ -86,7 +86,7 @@ def euclidean_pa(spark, d):
     return _pairs(spark, d).select("pid", "asn", F.round(G.head_distance(F.col("heads"), F.col("vec"), G.euclidean), 6).alias("d"))
 
 
-NEXT = "dual as (select a.pid, a.h1, a.h2, b.h1 g1, b.h2 g2 from profile_emb a join profile_emb b on b.pid = a.pid + 3)"
+NEXT = "dual as materialized (select a.pid, a.h1, a.h2, b.h1 g1, b.h2 g2 from profile_emb a join profile_emb b on b.pid = a.ahead)"
 
 
 def _both(spark, d):
@@ -125,10 +125,10 @@ def threshold_scales(spark, d):
 # --- scoring ---
 
 SCORED = f"""
-scored as (select c.*, case when a.vec is not null and p.pid is not null then least(13, least({poin('h1', 'a.vec')}, {poin('h2', 'a.vec')})) end dist_pa,
-   case when o.vec is not null and p.pid is not null then least(13, least({poin('h1', 'o.vec')}, {poin('h2', 'o.vec')})) end dist_po,
-   case when a.vec is not null and o.vec is not null then {poin('a.vec', 'o.vec')} end dist_ao, sqrt({N2.format('a.vec')}) na, sqrt({N2.format('o.vec')}) no
-   from cand c left join profile_emb p on p.pid = c.pid left join as_emb a on a.asn = c.as_id left join as_emb o on o.asn = c.origin_id),
+vectors as materialized (select c.*, p.h1, p.h2, a.vec avec, o.vec ovec from cand c left join profile_emb p on p.pid = c.pid left join as_emb a on a.asn = c.as_id left join as_emb o on o.asn = c.origin_id),
+scored as materialized (select rec_id, ts, prefix_id, pid, asn, origin, as_id, origin_id, is_source, is_blackhole, case when avec is not null and h1 is not null then least(13, least({poin('h1', 'avec')}, {poin('h2', 'avec')})) end dist_pa,
+   case when ovec is not null and h1 is not null then least(13, least({poin('h1', 'ovec')}, {poin('h2', 'ovec')})) end dist_po,
+   case when avec is not null and ovec is not null then {poin('avec', 'ovec')} end dist_ao, sqrt({N2.format('avec')}) na, sqrt({N2.format('ovec')}) no from vectors),
 factored as (select *, case when is_source and na is not null then case when na < 0.8 then 0.8 when na > 0.95 then 1.0 else 0.8 + (na - 0.8) * (4.0::double / 3.0) end else 1.0 end fa,
    case when is_source and no is not null then case when no < 0.8 then 0.8 when no > 0.95 then 1.0 else 0.8 + (no - 0.8) * (4.0::double / 3.0) end else 1.0 end fo from scored),
 high as (select *, coalesce(dist_pa > {THRESHOLDS['pa']} * fa, false) pa, coalesce(dist_po > {THRESHOLDS['po']} * fo, false) po, coalesce(dist_ao > {THRESHOLDS['ao']} * fa, false) ao,
@@ -282,13 +282,13 @@ def fp_reasons(spark, d):
 
 @query(f"select asn, other nearest, d from (select a.asn, b.asn other, round({poin('a.vec', 'b.vec')}, 6) d, row_number() over (partition by a.asn order by round({poin('a.vec', 'b.vec')}, 6), b.asn) k from as_emb a join as_emb b on a.asn <> b.asn) where k = 1", X.EMB)
 def nearest_as(spark, d):
-    return S.nearest_other(X.as_embeddings(spark, d))
+    return V.nearest_other(X.as_embeddings(spark, d))[0]
 
 
 @query(f"select pid, count(*) filter (least({poin('h1', 'vec')}, {poin('h2', 'vec')}) <= 3.05)::bigint acceptable from pairs group by 1", X.EMB, ALL_PAIRS)
 def acceptable_as_count(spark, d):
     """How many of all networks are within the threshold of each profile."""
-    return blocked(X.profile_embeddings(spark, d), X.as_embeddings(spark, d)).groupBy("pid").agg(F.count_if(G.head_distance(F.col("heads"), F.col("vec")) <= 3.05).cast("long").alias("acceptable"))
+    return V.within(X.profile_embeddings(spark, d), X.as_embeddings(spark, d), 3.05)[0].select("pid", F.col("n").alias("acceptable"))
 
 
 @query(

@@ -124,11 +124,12 @@ def monitor_baselines(spark: SparkSession, d: str) -> DataFrame:
 
 
 EMB = """
-en as (select count(*) n from embeddings),
-as_emb as (select s.asn, list_transform(e.embedding, lambda x: x::double * (0.70 + 0.029 * (s.asn % 10))) vec
-           from (select s_suppkey + 1 asn from supplier) s, en join embeddings e on e.vec_id = s.asn * 7 % en.n),
-profile_emb as (select c.pid, list_transform(a.embedding, lambda x: x::double * 0.30) h1, list_transform(b.embedding, lambda x: x::double * 0.30) h2
-           from (select c_custkey pid from customer) c, en join embeddings a on a.vec_id = c.pid * 2 % en.n join embeddings b on b.vec_id = (c.pid * 2 + 1) % en.n)"""
+en as materialized (select count(*) n from embeddings),
+as_keys as materialized (select s_suppkey + 1 asn, (s_suppkey + 1) * 7 % n i, 0.70 + 0.029 * ((s_suppkey + 1) % 10) scale from supplier, en),
+as_emb as materialized (select k.asn, list_transform(e.embedding, lambda x: x::double * k.scale) vec from as_keys k join embeddings e on e.vec_id = k.i),
+profile_keys as materialized (select c_custkey pid, c_custkey * 2 % n i, (c_custkey * 2 + 1) % n j, c_custkey + 3 ahead from customer, en),
+profile_emb as materialized (select k.pid, k.ahead, list_transform(a.embedding, lambda x: x::double * 0.30) h1, list_transform(b.embedding, lambda x: x::double * 0.30) h2
+           from profile_keys k join embeddings a on a.vec_id = k.i join embeddings b on b.vec_id = k.j)"""
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, int]:

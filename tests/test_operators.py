@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.models import embed
-from pathloom.operators import calibrate, completeness, evaluate, exempt, graph, grouping, paths, profiles, sampling, scoring
+from pathloom.operators import calibrate, completeness, evaluate, exempt, graph, grouping, paths, pivots, profiles, sampling, scoring
 
 
 def routes(spark, rows):
@@ -184,7 +184,7 @@ def test_policy_checks():
 
 def test_nearest_other(spark):
     e = spark.createDataFrame([(1, [0.0, 0.1]), (2, [0.0, 0.2]), (3, [0.5, 0.0])], "asn long, vec array<double>")
-    assert {r.asn: r.nearest for r in sampling.nearest_other(e).collect()} == {1: 2, 2: 1, 3: 1}
+    assert {r.asn: r.nearest for r in pivots.nearest_other(e)[0].collect()} == {1: 2, 2: 1, 3: 1}
 
 
 def test_training_lowers_the_loss():
