@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bits import hamming
 from ..functions.text import normalize_org
+from ..storage import stored
+from .quantiles import ranged
 
 
 def profile_orgs(hops: DataFrame, info: DataFrame, most_hop: int = 5) -> DataFrame:
@@ -40,19 +43,63 @@ def rpki_sampled(queries: DataFrame, status: DataFrame, threshold: int = 20, sam
     return answered.join(good, "asn", "left").select("asn", "prefix_id", "asked", used.alias("status"))
 
 
-def anchors(prints: DataFrame, radius: int = 12, most: int = 2000) -> DataFrame:
+def word_parts(lo: Column, hi: Column, parts: int) -> Column:
+    """The 128 bits cut into so many parts, each as (number, bits): prints that differ in fewer bits have one in common."""
+    first = (parts + 1) // 2
+    out = []
+    for word, n, at in ((lo, first, 0), (hi, parts - first, first)):
+        edges = [64 * k // n for k in range(n + 1)] if n else []
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            bits = F.shiftrightunsigned(word, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) if b - a < 64 else word
+            out.append(F.struct(F.lit(at + k).alias("part"), bits.alias("bits")))
+    return F.array(*out)
+
+
+#: Beyond so many parts they are too short to tell prints apart.
+MOST_PARTS = 24
+
+
+def anchors(prints: DataFrame, radius: int = 12, most: int = 2000, block: int = 2000) -> DataFrame:
     """(as_id, lo, hi) fingerprints -> anchors: leaders such that every fingerprint of a network is within ``radius`` of one
-    (or the first ``most`` leaders). Fingerprints are taken in their own order; repeats are dropped before the grouping."""
+    (or the first ``most`` leaders). Fingerprints are taken in their own order, repeats once.
+
+    A round takes about the first ``block`` fingerprints of each network that no leader covers yet, finds the leaders among
+    them one after another, and then all that these cover are dropped: what is covered later can lead nothing. So the leaders
+    are those of the whole order, but no task gets more of a network than a block (ranges between quantiles, found once).
+    Covered fingerprints are found by multi-index hashing: of radius + 1 parts of the bits one must be equal.
+    """
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         words = pdf[["lo", "hi"]].sort_values(["lo", "hi"]).to_numpy(np.int64).view(np.uint64)
-        chosen = np.empty((0, 2), np.uint64)
+        chosen, n = np.empty((min(len(words), most), 2), np.uint64), 0
         for w in words:
-            if len(chosen) and np.bitwise_count(chosen ^ w).sum(axis=1).min() <= radius:
+            if n and np.bitwise_count(chosen[:n] ^ w).sum(axis=1).min() <= radius:
                 continue
-            chosen = np.vstack([chosen, w])
-            if len(chosen) >= most:
+            if n == len(chosen):
                 break
-        return pd.DataFrame({"as_id": pdf["as_id"].iloc[0], "lo": chosen[:, 0].view(np.int64), "hi": chosen[:, 1].view(np.int64)})
+            chosen[n] = w
+            n += 1
+        return pd.DataFrame({"as_id": pdf["as_id"].iloc[0], "lo": chosen[:n, 0].view(np.int64), "hi": chosen[:n, 1].view(np.int64)})
 
-    return prints.select("as_id", "lo", "hi").distinct().groupBy("as_id").applyInPandas(lead, "as_id long, lo long, hi long")
+    shape, key = "as_id long, lo long, hi long", ["as_id", "r"]
+    rest = stored(ranged(prints.select("as_id", "lo", "hi").where("as_id is not null").distinct(), "lo", "as_id"), "anchor-prints")
+    found = prints.sparkSession.createDataFrame([], shape)
+    while not rest.isEmpty():
+        per = rest.groupBy(*key).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("as_id").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of ranges
+        now = stored(per.withColumn("before", before).where(F.col("before") < block).select(*key), "anchor-block")
+        new = stored(rest.join(now, key).groupBy("as_id").applyInPandas(lead, shape), "anchor-leaders")
+        found = stored(found.unionByName(new), "anchors")
+        full = found.groupBy("as_id").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("as_id")
+        left = rest.join(now, key, "left_anti").join(full, "as_id", "left_anti")
+        near = hamming(F.col("lo"), F.col("hi"), F.col("alo"), F.col("ahi")) <= radius
+        leaders = new.select("as_id", F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+        if radius < MOST_PARTS:
+            each = lambda d, lo, hi: d.withColumn("x", F.explode(word_parts(F.col(lo), F.col(hi), radius + 1))).select(*d.columns, "x.part", "x.bits")
+            met = each(left, "lo", "hi").join(each(leaders, "alo", "ahi"), ["as_id", "part", "bits"])
+        else:
+            met = left.join(leaders, "as_id")
+        covered = stored(met.where(near).select("as_id", "lo", "hi").distinct(), "anchor-covered")
+        rest = stored(left.join(covered, ["as_id", "lo", "hi"], "left_anti"), "anchor-rest")
+    order = Window.partitionBy("as_id").orderBy("lo", "hi")  # of leaders: ``most`` and a block at most
+    return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select("as_id", "lo", "hi")
