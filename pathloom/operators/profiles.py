@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .quantiles import ranged
 
 
 def min_hops(routes: DataFrame) -> DataFrame:
@@ -72,3 +73,18 @@ def inferred_origins(links: DataFrame) -> DataFrame:
 def neighbors(links: DataFrame) -> DataFrame:
     both = links.select("from_as", "to_as").unionByName(links.select(F.col("to_as").alias("from_as"), F.col("from_as").alias("to_as")))
     return both.where("from_as <> to_as").distinct().groupBy(F.col("from_as").alias("asn")).agg(F.count("*").alias("n_neighbors"), F.min("to_as").alias("least"), F.max("to_as").alias("most"))
+
+
+def profile_lists(hops: DataFrame, most_hop: int = 5, longest: int = 4096) -> DataFrame:
+    """(pid, asn, hop) -> (asn, chunk, pids): the profiles that each network is near to, in order of their ids.
+
+    A network near to most profiles has many: its list goes on in chunks of ``longest``. Places come from ranges of the ids and
+    their counts, so no task gets a network's whole list.
+    """
+    near = hops.where(F.col("hop") < most_hop).select("asn", "pid").distinct()
+    rows = stored(ranged(near, "pid", "asn"), "profile-lists")
+    per = rows.groupBy("asn", "r").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("asn").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of ranges
+    place = F.col("before") + F.row_number().over(Window.partitionBy("asn", "r").orderBy("pid")) - 1
+    placed = rows.join(per.select("asn", "r", before.alias("before")), ["asn", "r"]).select("asn", "pid", F.floor(place / longest).alias("chunk"))
+    return placed.groupBy("asn", "chunk").agg(F.sort_array(F.collect_list("pid")).alias("pids"))

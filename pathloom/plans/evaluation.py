@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ from ..operators import profiles as R
 from ..operators import sampling as S
 from ..operators.quantiles import exact_percentiles
 from ..sources import fixtures as X
+from ..sources import publish as U
 from ..sources.readers import read_table
+from ..storage import shared_dir
 from .geometry import ALL_PAIRS, SCORED, poin, scored
-from .registered import query
+from .registered import ORACLES, query
 from .routes import HAM, HOPS, PRINTS, WORDS
 
 # --- calibration ---
@@ -334,6 +338,22 @@ def stratified_sample(spark, d):
     return S.stratified(o, "stratum", "key", {"F": 50, "O": 166, "P": 20})
 
 
+SAMPLE = """
+o_ as materialized (select o_orderstatus stratum, o_orderkey "key", ((o_orderkey % 1000003) * 9022) % 2147483647 h from orders),
+first_ as materialized (select *, 'forced' part from o_ where "key" % 97 = 5 union all select * exclude (k), 'stratum' from (select *, row_number() over (partition by stratum order by h, "key") k from o_ where "key" % 97 <> 5) where k <= case stratum when 'F' then 50 when 'O' then 100000 else 20 end),
+need as (select greatest(0, 900 - count(*)) n from first_)"""
+
+
+@query(
+    """select stratum, "key", part from first_ union all select stratum, "key", 'rest' from (select *, row_number() over (order by h, "key") k from o_ where "key" not in (select "key" from first_)), need where k <= n""",
+    SAMPLE,
+)
+def filled_sample(spark, d):
+    """Orders with forced members, sizes of strata of which one is larger than its stratum, and a fill up to 900 (a sampling operator)."""
+    o = read_table(spark, d, "orders").select(F.col("o_orderstatus").alias("stratum"), F.col("o_orderkey").alias("key")).distinct()
+    return S.filled(o, "stratum", "key", {"F": 50, "O": 100_000, "P": 20}, 900, o.where("key % 97 = 5")).select("stratum", "key", "part")
+
+
 @query(f"select degree, median(acceptable)::double acceptable, count(*)::bigint n from (select pid, pid % 7 degree, count(*) filter (least({poin('h1', 'vec')}, {poin('h2', 'vec')}) <= 3.05) acceptable from pairs group by 1, 2) group by 1", X.EMB, ALL_PAIRS)
 def acceptable_by_degree(spark, d):
     from .geometry import acceptable_as_count
@@ -413,3 +433,30 @@ def zoom_box(spark, d):
 def kernel_density(spark, d):
     k = S.kernel_density(read_table(spark, d, "lineitem"), "l_quantity", 0.0, 50.0, 25, 2.0)
     return k.select(F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+@query(
+    """select asn, (k // 100)::bigint chunk, string_agg(pid::varchar, ' ' order by pid) pids from (select asn, pid, row_number() over (partition by asn order by pid) - 1 k from (select distinct prefix_id pid, asn from hops where hop < 2)) group by 1, 2""",
+    X.ANN, HOPS,
+)
+def as_profile_lists(spark, d):
+    """The profiles that each network is near to, in chunks of a hundred."""
+    h = R.min_hops(X.announcements(spark, d)).withColumnRenamed("prefix_id", "pid")
+    return R.profile_lists(h, 2, 100).select("asn", "chunk", F.array_join(F.col("pids").cast("array<string>"), " ").alias("pids"))
+
+
+@query(ORACLES["metrics_by_repeat"])
+def published_metrics(spark, d):
+    """The metrics as a published run: written under a manifest, written again (which does nothing), and read back verified."""
+    at = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    for _ in range(2):
+        U.publish({"metrics": metrics_by_repeat(spark, d)}, at, "evaluation")
+    return U.read(spark, at, "evaluation", "metrics", verify=True)
+
+
+@query("select case when rec_id % 2 = 0 or rec_id % 3 = 0 then 'removed' else 'kept' end state, count(*)::bigint n from cand group by 1", X.ANN, X.CAND)
+def reconciled_outputs(spark, d):
+    """Candidates against what an exemption kept and removed: anything but these two states would be a fault."""
+    c = X.candidates(spark, d).select("rec_id")
+    gone = (F.col("rec_id") % 2 == 0) | (F.col("rec_id") % 3 == 0)
+    return U.reconcile(c, c.where(~gone), c.where(gone), "rec_id")
