@@ -88,7 +88,9 @@ def longest_prefix_match(queries: DataFrame, table: DataFrame, key: str = "prefi
 
     Distinct prefixes fan out to their supernets (at most 33 for IPv4, 97 for IPv6) and meet the table by equality: a plain
     hash join, whatever the table's size. IPv4 stays in built-in functions. Of equal table prefixes the largest value wins.
+    Columns of the queries that are named like the two are replaced. IPv4 addresses written as IPv6 are IPv6.
     """
+    queries = queries.drop(*(c for c in queries.columns if c.lower() in (value.lower(), "matched_len")))
     keys = queries.select(F.col(key).alias("k")).where("k is not null").distinct()
     rows = table.select(F.col(key).alias("k"), F.col(value).alias("v"))
     chain = _v4(keys).select("k", F.explode(v4_supernets(F.col("net"), F.col("len"))).alias("s")).select("k", "s.net", "s.len")

@@ -15,9 +15,11 @@ RETENTION_DAYS = {"upd": 14, "rib": 2, "status_upd": 21, "status_rib": 2, "as_in
 
 
 def check_policy(policy: dict) -> None:
-    """Refuses wrong counts, repeated collectors and unknown rules."""
+    """Refuses sources without collectors, wrong counts, repeated collectors and unknown rules."""
     for name, s in policy["sources"].items():
         ids = s["collector_ids"]
+        if not ids or s["collectors"] < 1:
+            raise ValueError(f"{name}: no collectors")
         if len(ids) != s["collectors"] or len(set(ids)) != len(ids):
             raise ValueError(f"{name}: {s['collectors']} collectors are stated, {len(set(ids))} different ones listed")
     for kind, rules in policy["rules"].items():
@@ -40,7 +42,7 @@ def counts(collected: DataFrame, expected: DataFrame, kind: str = "upd", rules:
 
 def missing_collectors(collected: DataFrame, expected: DataFrame) -> DataFrame:
     """(slot, source, collector) that are expected and not there, for sources with anything in the slot."""
-    seen = collected.select("slot", "source").distinct().join(F.broadcast(expected), "source")
+    seen = collected.select("slot", "source").distinct().join(expected, "source")
     return seen.join(collected, ["slot", "source", "collector"], "left_anti").select("slot", "source", "collector")
 
 
@@ -86,7 +88,7 @@ def next_baseline(baselines: DataFrame, current: Column) -> DataFrame:
 
 def without_baseline(updates: DataFrame, baseline: DataFrame) -> DataFrame:
     """Updates of collectors that the baseline has."""
-    return updates.join(F.broadcast(baseline.select("collector").distinct()), "collector", "left_semi")
+    return updates.join(baseline.select("collector").distinct(), "collector", "left_semi")
 
 
 def earliest_snapshot(archives: DataFrame) -> DataFrame:

@@ -45,6 +45,17 @@ def lpm_profile(spark, d):
     return N.longest_prefix_match(q, t).select("rec_id", F.col("profile_id").cast("long").alias("profile_id"), F.col("matched_len").cast("int").alias("matched_len"))
 
 
+@query("select rec_id, prefix, 6::int family, 64::int len from v6_text", X.V6)
+def cidr_canonical_v6(spark, d):
+    return X.v6_queries(spark, d).select("rec_id", N.canonical(F.col("prefix")).alias("c")).select("rec_id", "c.prefix", "c.family", "c.len")
+
+
+@query("select rec_id, case when c % 3 = 0 then c when c // 256 % 2 = 0 then -(c // 256) - 2 else -1 end::bigint profile_id, case when c % 3 = 0 then 48 when c // 256 % 2 = 0 then 40 else 32 end::int matched_len from v6", X.V6)
+def lpm_profile_v6(spark, d):
+    """IPv6 prefixes, written in another way than the table's, by their most specific covering prefix."""
+    return N.longest_prefix_match(X.v6_queries(spark, d), X.v6_table(spark, d)).select("rec_id", "profile_id", F.col("matched_len").cast("int").alias("matched_len"))
+
+
 @query("select t.pid root, count(*)::bigint children, min(m.rec_id) first from table_prefixes t join masked m on m.len >= t.len and m.net between t.net and t.net + (2 ** (32 - t.len))::bigint - 1 where t.len = 20 group by 1", X.PREFIXES)
 def child_prefixes(spark, d):
     """Prefixes inside roots of one length: containment is equality of the child's bits up to that length."""

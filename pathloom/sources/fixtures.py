@@ -254,3 +254,23 @@ def query_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """rec_id, ip, len."""
     k = F.col("o_orderkey")
     return read_table(spark, d, "orders").select(k.alias("rec_id"), (167772160 + F.col("o_custkey") * 256 + k % 256).alias("ip"), (16 + k % 17).cast("int").alias("len"))
+
+
+V6 = """
+v6 as (select o_orderkey rec_id, o_custkey c, o_orderkey % 4 k from orders),
+v6_text as (select rec_id, c, k, '2001:db8' || case when c = 0 and k = 0 then '' when k = 0 then ':' || printf('%x', c) else ':' || printf('%x', c) || ':' || printf('%x', k) end || '::/64' prefix from v6)"""
+
+
+def v6_queries(spark: SparkSession, d: str) -> DataFrame:
+    """rec_id, prefix: IPv6 text with capitals, leading zeros and host bits."""
+    o = read_table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("rec_id"), F.format_string("2001:0DB8:%04X:%X::1/64", F.col("o_custkey"), F.col("o_orderkey") % 4).alias("prefix"))
+
+
+def v6_table(spark: SparkSession, d: str) -> DataFrame:
+    """prefix, profile_id: nested prefixes of two lengths under one."""
+    c = read_table(spark, d, "customer").select(F.col("c_custkey").alias("c"))
+    long = c.where("c % 3 = 0").select(F.format_string("2001:db8:%x::/48", "c").alias("prefix"), F.col("c").alias("profile_id"))
+    group = c.select(F.floor(F.col("c") / 256).alias("g")).distinct().where("g % 2 = 0")
+    mid = group.select(F.format_string("2001:db8:%x::/40", F.col("g") * 256).alias("prefix"), (-F.col("g") - 2).alias("profile_id"))
+    return long.unionByName(mid).unionByName(spark.range(1).select(F.lit("2001:DB8::/32").alias("prefix"), F.lit(-1).cast("long").alias("profile_id")))

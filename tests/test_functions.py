@@ -52,6 +52,12 @@ def test_longest_prefix_match(spark, prefix, want):
     assert [r.profile_id for r in got] == [want]
 
 
+def test_longest_prefix_match_replaces_columns_of_its_names(spark):
+    q = spark.createDataFrame([("10.1.0.0/16", "old", 5, "x")], "prefix string, matched_len string, profile_id int, k string")
+    r = network.longest_prefix_match(q, spark.createDataFrame([("10.0.0.0/8", 1)], "prefix string, profile_id long"))
+    assert sorted(r.columns) == ["k", "matched_len", "prefix", "profile_id"] and (r.first().matched_len, r.first().profile_id) == (8, 1)
+
+
 @pytest.mark.parametrize("prefix,want,length", [("2001:db8:1::/48", 1, 32), ("2001:db8:1:2::5/64", 2, 56), ("2001:0DB8:0001:0200::/56", 4, 48), ("2001:db9::/32", None, None), ("2001::/16", 3, 16), ("2002::/16", None, None), ("::ffff:10.1.2.0/120", None, None), ("10.1.2.0/24", 5, 8), ("2001:zz::/48", None, None)])
 def test_longest_prefix_match_of_both_families(spark, prefix, want, length):
     table = spark.createDataFrame([("2001:db8::/32", 1), ("2001:db8:1::/56", 2), ("2001:db8:1::/48", 4), ("2001::/16", 3), ("10.0.0.0/8", 5), ("::", 6), (None, 7)], "prefix string, profile_id long")

@@ -177,7 +177,7 @@ def test_baseline_as_of(spark):
 def test_policy_checks():
     good = {"sources": {"ris": {"collectors": 2, "collector_ids": ["a", "b"]}}, "rules": {"upd": {"ris": "always"}}}
     completeness.check_policy(good)
-    for bad in ({**good, "rules": {"upd": {"ris": "sometimes"}}}, {**good, "sources": {"ris": {"collectors": 2, "collector_ids": ["a", "a"]}}}):
+    for bad in ({"sources": {"ris": {"collectors": 0, "collector_ids": []}}, "rules": {}}, {**good, "rules": {"upd": {"ris": "sometimes"}}}, {**good, "sources": {"ris": {"collectors": 2, "collector_ids": ["a", "a"]}}}):
         with pytest.raises(ValueError):
             completeness.check_policy(bad)
 
