@@ -1,6 +1,6 @@
-"""Embeddings of networks and profiles in the unit ball (or the plane), trained with numpy gradients.
+"""Embeddings of networks and profiles in the unit ball (or the plane): distances with gradients, and a small trainer in memory.
 
-Spark prepares and feeds the triplets; a model of a few hundred thousand vectors is the driver's (or, in a sweep, one task's).
+``models.distributed`` trains over tables; this one is for a few thousand triplets at hand.
 """
 
 from __future__ import annotations
@@ -9,8 +9,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 EPS = 1e-5
 
@@ -143,41 +141,3 @@ def _to_heads(h: np.ndarray, v: np.ndarray, cfg: Config) -> tuple[np.ndarray, np
     k = d.argmin(-1)
     pick = lambda x: np.take_along_axis(x, k[..., None, None], 2)[:, :, 0]
     return np.take_along_axis(d, k[..., None], 2)[..., 0], k, pick(gh), pick(ga)
-
-
-def fit(spark: SparkSession, triplets: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(profile, asn, hop, weight) rows -> embeddings as tables, and the losses."""
-    ids = {r.asn: i for i, r in enumerate(triplets.select("asn").distinct().orderBy("asn").collect())}
-    profiles = {r.profile: i for i, r in enumerate(triplets.select("profile").distinct().orderBy("profile").collect())}
-    t = triplets.toPandas()
-    t = t.assign(as_id=t["asn"].map(ids), profile=t["profile"].map(profiles))
-    got = train(t, len(ids), cfg)
-    a = spark.createDataFrame([(n, got.as_vec[i].tolist()) for n, i in ids.items()], "asn long, vec array<double>")
-    h = spark.createDataFrame([(p, got.heads[i].tolist()) for p, i in profiles.items()], "pid long, heads array<array<double>>")
-    return a, h, got.losses
-
-
-def sweep(spark: SparkSession, triplets: DataFrame, configs: list[Config]) -> DataFrame:
-    """One task for each configuration: geometry, dim, heads, seed, epochs, first and last loss."""
-    ids = {r.asn: i for i, r in enumerate(triplets.select("asn").distinct().orderBy("asn").collect())}
-    profiles = {r.profile: i for i, r in enumerate(triplets.select("profile").distinct().orderBy("profile").collect())}
-    t = triplets.toPandas()
-    t = spark.sparkContext.broadcast(t.assign(as_id=t["asn"].map(ids), profile=t["profile"].map(profiles)))
-    n, rows = len(ids), [(i, c.geometry, c.dim, c.heads, c.seed) for i, c in enumerate(configs)]
-    table = spark.createDataFrame(rows, "i int, geometry string, dim int, heads int, seed int").repartition(len(rows), "i")
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                losses = train(t.value, n, configs[r.i]).losses
-                out.append((r.geometry, r.dim, r.heads, r.seed, len(losses), losses[0], min(losses)))
-            yield pd.DataFrame(out, columns=["geometry", "dim", "heads", "seed", "epochs", "first_loss", "best_loss"])
-
-    return table.mapInPandas(run, "geometry string, dim int, heads int, seed int, epochs int, first_loss double, best_loss double")
-
-
-def summary(runs: DataFrame) -> DataFrame:
-    """Series by geometry and seed, in order of the dimension."""
-    s = F.sort_array(F.collect_list(F.struct("dim", "heads", F.round("best_loss", 6).alias("loss"))))
-    return runs.groupBy("geometry", "seed").agg(F.count("*").alias("runs"), s.alias("series"))

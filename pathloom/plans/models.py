@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import embed
+from ..models import distributed
 from ..operators import profiles as R
+from ..operators import simhash as S
 from ..sources import fixtures as X
+from ..storage import stored
 from .registered import query
 
 
@@ -15,14 +17,20 @@ def _triplets(spark, d):
     return h.select(F.col("prefix_id").alias("profile"), "asn", "hop", F.when(F.col("from_rib"), 1.0).otherwise(0.2).alias("weight"))
 
 
+def _prints(spark, d):
+    return S.simhash(R.edges(X.announcements(spark, d))).select(F.col("prefix_id").alias("pid"), F.col("fp_lo").alias("lo"), F.col("fp_hi").alias("hi"))
+
+
 @query()
 def train_embeddings(spark, d):
-    """Losses of a short run, by epoch."""
-    _, _, losses = embed.fit(spark, _triplets(spark, d), embed.Config(dim=8, epochs=30))
+    """Losses of a short run over all profiles, by epoch, with the fingerprints' pull and push."""
+    _, _, losses = distributed.fit(spark, _triplets(spark, d), distributed.Config(dim=8, epochs=5), _prints(spark, d))
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
 @query()
 def sweep_embeddings(spark, d):
-    configs = [embed.Config(dim=n, epochs=8, geometry=g) for n in (4, 8) for g in ("hyperbolic", "euclidean")]
-    return embed.sweep(spark, _triplets(spark, d), configs)
+    """Series of short runs by geometry and dimension."""
+    configs = [distributed.Config(dim=n, epochs=2, geometry=g) for n in (4, 8) for g in ("hyperbolic", "euclidean")]
+    runs = distributed.sweep(spark, stored(_triplets(spark, d), "triplets"), configs)
+    return distributed.summary(runs).select("geometry", "seed", "runs", F.to_json("series").alias("series"))
