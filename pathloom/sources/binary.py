@@ -1,7 +1,7 @@
 """Binary tables of fixed-width records as a Spark data source: ``spark.read.format("fixed_width").option("layout", ..)``.
 
 A file is an optional count (eight bytes, little-endian) and that many records. Files are cut at record borders into splits of
-about ``split`` bytes; each is read by one task in blocks and decoded in whole columns. Sizes are checked from the listing
+about ``split`` bytes, larger ones where they would be more than ``MOST_SPLITS`` (up to ``WIDEST``); each is read by one task in blocks and decoded in whole columns. Sizes are checked from the listing
 alone, counts by the first split's task, and an error names the file, what it should have and what it has, so a truncated file
 never gives rows. Records of the ``compact_paths`` layout have a length of their own: such a file is one split, read in
 blocks.
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 COUNT, BLOCK = 8, 1 << 20
+MOST_SPLITS, WIDEST = 256, 64 << 20
 PAIRS = 27
 # fixed values: the layouts of the files
 PREFIX = ("prefix", "u1", (16,))
@@ -128,7 +129,7 @@ def open_store(url: str):
 
 class FixedReader(DataSourceReader):
     def __init__(self, options):
-        self.url, self.layout, self.split = options["path"], options["layout"], int(options.get("split", str(64 << 20)))
+        self.url, self.layout, self.split = options["path"], options["layout"], int(options.get("split", str(WIDEST)))
         self.head = COUNT if self.layout in COUNTED else 0
         self.kind = np.dtype(DTYPES[self.layout])
 
@@ -138,7 +139,8 @@ class FixedReader(DataSourceReader):
         if info.type == arrow_fs.FileType.NotFound:
             raise FileNotFoundError(self.url)
         files = [info] if info.is_file else [f for f in store.get_file_info(arrow_fs.FileSelector(at, recursive=True)) if f.is_file and not f.base_name.startswith((".", "_"))]
-        out, place, each = [], 0, max(1, self.split // self.kind.itemsize)
+        width = max(self.split, min(WIDEST, -(-sum(f.size for f in files) // MOST_SPLITS)))
+        out, place, each = [], 0, max(1, width // self.kind.itemsize)
         for f in sorted(files, key=lambda f: f.path):
             if f.size < self.head:
                 raise ValueError(f"{f.path}: no count, {f.size} bytes")
@@ -264,7 +266,7 @@ class FixedWidth(DataSource):
         return FixedWriter(self.options, overwrite)
 
 
-def read_binary(spark: SparkSession, path: str, layout: str, split: int = 64 << 20) -> DataFrame:
+def read_binary(spark: SparkSession, path: str, layout: str, split: int = WIDEST) -> DataFrame:
     spark.dataSource.register(FixedWidth)
     return spark.read.format("fixed_width").option("layout", layout).option("split", str(split)).load(path)
 
