@@ -73,31 +73,51 @@ def supernets(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def _v4(keys: DataFrame) -> DataFrame:
-    """(k) -> (k, net, len) of the IPv4 prefixes."""
-    return keys.select("k", v4_parse(F.col("k")).alias("p")).where("p is not null").select("k", "p.net", "p.len")
+_OCTET = r"(?:[01]?\d{1,2}|2[0-4]\d|25[0-5])"
+_V4_STRICT = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}/(?:[0-2]?\d|3[0-2])$"
 
 
-def _v6(keys: DataFrame) -> DataFrame:
-    """The others that may be IPv6; the Arrow function gives null for bad text."""
-    return keys.where(F.contains("k", F.lit(":")))
+def _v4_number(net: Column, length: Column) -> Column:
+    """An IPv4 prefix as one number."""
+    return net * 64 + length
+
+
+def _v4_numbers(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the number of each IPv4 prefix, null for what is none, from one match and one split of the text."""
+    parts = F.aggregate(F.split(text, "[./]"), F.lit(0).cast("long"), lambda s, x: s * 256 + x.cast("long"))
+    raw, length = F.col("_raw"), F.col("_raw").bitwiseAND(F.lit(255))
+    rows = rows.withColumn("_raw", F.when(F.regexp_like(text, F.lit(_V4_STRICT)), parts))
+    return rows.withColumn(name, _v4_number(v4_mask(F.shiftright(raw, 8), length), length)).drop("_raw")
+
+
+def _of_lengths(known: DataFrame) -> DataFrame:
+    """_lengths of the table's prefixes: one row, of at most 129 numbers."""
+    return F.broadcast(known.agg(F.collect_set("len").alias("_lengths")))
 
 
 def longest_prefix_match(queries: DataFrame, table: DataFrame, key: str = "prefix", value: str = "profile_id") -> DataFrame:
     """Adds ``value`` of the most specific table prefix that covers the query, and matched_len; null where there is none.
 
-    Distinct prefixes fan out to their supernets (at most 33 for IPv4, 97 for IPv6) and meet the table by equality: a plain
-    hash join, whatever the table's size. IPv4 stays in built-in functions. Of equal table prefixes the largest value wins.
-    Columns of the queries that are named like the two are replaced. IPv4 addresses written as IPv6 are IPv6.
+    Distinct prefixes fan out to those of their supernets (at most 33 for IPv4, 97 for IPv6) whose length some table prefix has,
+    and meet the table by equality: a plain hash join, whatever the table's size. IPv4 stays in built-in functions and moves as
+    numbers. Of equal table prefixes the largest value wins. Columns of the queries that are named like the two are replaced.
+    IPv4 addresses written as IPv6 are IPv6.
     """
     queries = queries.drop(*(c for c in queries.columns if c.lower() in (value.lower(), "matched_len")))
-    keys = queries.select(F.col(key).alias("k")).where("k is not null").distinct()
+    v6 = F.contains(F.col(key), F.lit(":"))
+    # an IPv4 prefix is its number, what may be IPv6 its text; the Arrow function gives null for bad text
+    queries = _v4_numbers(queries, key, "_n")
     rows = table.select(F.col(key).alias("k"), F.col(value).alias("v"))
-    chain = _v4(keys).select("k", F.explode(v4_supernets(F.col("net"), F.col("len"))).alias("s")).select("k", "s.net", "s.len")
-    known = rows.select(v4_parse(F.col("k")).alias("p"), "v").where("p is not null").select("p.net", "p.len", "v")
-    met = chain.join(known, ["net", "len"]).select("k", "len", "v")
-    chain6 = _v6(keys).select("k", F.explode(supernets(F.col("k"))).alias("s")).select("k", F.col("s.prefix").alias("p"), F.col("s.len").alias("len"))
-    known6 = _v6(rows).select(canonical(F.col("k")).alias("c"), "v").where("c.prefix is not null").select(F.col("c.prefix").alias("p"), "v")
-    met = met.unionByName(chain6.join(known6, "p").select("k", "len", "v"))
-    best = met.groupBy("k").agg(F.max(F.struct("len", "v")).alias("b")).select(F.col("k").alias(key), F.col("b.v").alias(value), F.col("b.len").alias("matched_len"))
-    return queries.join(best, key, "left")
+    known = _v4_numbers(rows, "k", "s").select("s", (F.col("s") % 64).cast("int").alias("len"), "v").where("s is not null")
+    net, n = F.shiftright("k", 6), F.col("k").bitwiseAND(F.lit(63)).cast("int")
+    chain = queries.select(F.col("_n").alias("k")).distinct().join(_of_lengths(known))
+    chain = chain.select("k", F.explode(F.filter("_lengths", lambda x: (x == n) | ((x < n) & (x >= V4_FLOOR)))).alias("len"))
+    chain = chain.select("k", "len", _v4_number(v4_mask(net, F.col("len")), F.col("len")).alias("s"))
+    met = chain.join(known.select("s", "v"), "s").select(F.col("k").cast("string").alias("k"), "len", "v")
+    known6 = rows.where(F.contains("k", F.lit(":"))).select(canonical(F.col("k")).alias("c"), "v").where("c.prefix is not null").select(F.col("c.prefix").alias("p"), "c.len", "v")
+    chain6 = queries.where(v6).select(F.col(key).alias("k")).distinct().select("k", supernets(F.col("k")).alias("c"))
+    chain6 = chain6.join(_of_lengths(known6)).select("k", F.explode(F.filter("c", lambda x: F.array_contains("_lengths", x["len"]))).alias("s")).select("k", F.col("s.prefix").alias("p"), F.col("s.len").alias("len"))
+    met = met.unionByName(chain6.join(known6.select("p", "v"), "p").select("k", "len", "v"))
+    best = met.groupBy(F.col("k").alias("_lpm")).agg(F.max(F.struct("len", "v")).alias("b")).select("_lpm", F.col("b.v").alias(value), F.col("b.len").alias("matched_len"))
+    queries = queries.withColumn("_lpm", F.coalesce(F.col("_n").cast("string"), F.when(v6, F.col(key)))).drop("_n")
+    return queries.join(best, "_lpm", "left").drop("_lpm")
