@@ -31,10 +31,10 @@ def with_groups(rows: DataFrame, share: float = 0.7) -> DataFrame:
 def outputs(decided: DataFrame, share: float = 0.7) -> dict[str, DataFrame]:
     """decided: rec_id, prefix_id, asn, ts, is_source, dist_pa, missing, prediction, upstream -> the tables anomalous_raw,
     anomalous_aggregated (the strongest row of each prefix, with group_asn) and missing_raw, each with its subtype."""
-    d = decided.withColumn("subtype", subtype())
-    anomalous = stored(d.where("prediction"), "detection-anomalous")
+    d = stored(decided.where(F.col("prediction") | F.col("missing")).withColumn("subtype", subtype()), "detection-decided")  # scored once for all tables
+    anomalous = d.where("prediction")
     aggregated = stored(with_groups(strongest(anomalous), share), "detection-aggregated")
-    return {"anomalous_raw": anomalous, "anomalous_aggregated": aggregated, "missing_raw": stored(d.where("missing"), "detection-missing")}
+    return {"anomalous_raw": anomalous, "anomalous_aggregated": aggregated, "missing_raw": d.where("missing")}
 
 
 def stats(tables: dict[str, DataFrame]) -> DataFrame:
