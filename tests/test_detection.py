@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import calibration, detection, pairs
+from pathloom.operators import calibration, copies, detection, pairs
 
 TRIPLETS = "pid long, asn long, hop int, weight double"
 
@@ -108,3 +108,17 @@ def test_rpki_is_for_origins_only_and_files_are_split(spark, tmp_path):
 def test_subtype_by_level(spark):
     d = spark.createDataFrame([(None, 1), (None, 2), (True, 3), (False, 1)], "is_source boolean, level int")
     assert [r[0] for r in d.select(detection.subtype(F.col("level"))).collect()] == ["origin", "non_origin", "origin", "non_origin"]
+
+
+def test_thresholds_of_few_classes_move_no_pairs(spark, monkeypatch):
+    rng, (heads, vec) = random.Random(9), model(12, 40)
+    rows = [(p, a, rng.randint(0, 9), 1.0) for p in range(12) for a in rng.sample(range(1, 45), 9)]  # some networks have no vector
+    given = spark.createDataFrame(rows, TRIPLETS), spark.createDataFrame(list(heads.items()), "pid long, heads array<array<double>>"), spark.createDataFrame(list(vec.items()), "asn long, vec array<double>")
+    measured, seen = calibration.measured, []
+    monkeypatch.setattr(calibration, "measured", lambda *args, **columns: seen.append(args) or measured(*args, **columns))
+    monkeypatch.setattr(calibration, "ROWS", 5, raising=False)
+    few = sorted(calibration.thresholds(*given).collect())
+    assert not seen and len(few) == 3
+    monkeypatch.setattr(copies, "FEW_CELLS", 0)
+    many = sorted(calibration.thresholds(*given).collect())
+    assert seen and [r[:3] for r in few] == [r[:3] for r in many] and np.allclose([r[3:] for r in few], [r[3:] for r in many], atol=1e-8)
